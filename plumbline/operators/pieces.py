@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 #: A group of more rows is cut, into up to PIECES pieces.
 HOT_ROWS = 200_000
@@ -115,3 +115,30 @@ def sorted_groups(
 def floats(t: pa.Table, name: str) -> np.ndarray:
     """A numeric column as doubles, nulls as NaN."""
     return t.column(name).cast(pa.float64()).to_numpy()
+
+
+def _last(c: Column) -> Column:
+    return F.last(c, ignorenulls=True)
+
+
+def carried(df: DataFrame, keys: list[str], order: str, value: Column, name: str, how: Callable[[Column], Column] = _last) -> DataFrame:
+    """Adds ``name``: the last non-null ``value`` of the earlier rows of the group, or with
+    ``how`` another running aggregate of them that can be nested, such as ``F.max``. Within
+    a piece by a window; what a piece inherits comes from one summary row per piece."""
+    far = Window.unboundedPreceding
+    inside = Window.partitionBy(*keys, "piece").orderBy(order)
+    df = df.withColumn("_v", value).withColumn("_in", how(F.col("_v")).over(inside.rowsBetween(far, -1)))
+    end = F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))) if how is _last else how(F.col("_v"))
+    across = Window.partitionBy(*keys).orderBy("piece").rowsBetween(far, -1)
+    ends = df.groupBy(*keys, "piece").agg(end.alias("_end")).withColumn("_before", how(F.col("_end")).over(across)).where("_before is not null").drop("_end")
+    df = df.join(ends, [*keys, "piece"], "left")
+    both = F.coalesce("_in", "_before") if how is _last else how_both(how)
+    return df.withColumn(name, both).drop("_v", "_in", "_before")
+
+
+def how_both(how: Callable[[Column], Column]) -> Column:
+    if how is F.max:
+        return F.greatest("_in", "_before")
+    if how is F.min:
+        return F.least("_in", "_before")
+    raise ValueError("only the last value, the maximum and the minimum can be carried")
