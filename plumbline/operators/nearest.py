@@ -47,8 +47,12 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], tolerance_us: in
     }).withColumnRenamed("at_us", "right_us")
     l = left.select(*keys, F.col("at_us").alias("left_us"), F.col("seq").alias("left_seq")).where(" and ".join(f"{k} is not null" for k in [*keys, "left_us", "left_seq"])).dropDuplicates([*keys, "left_us", "left_seq"])
     l = l.withColumn("bin", bin_of(F.col("left_us"))).withColumn("left2", 2 * F.col("left_us"))
-    on = [l[k] == r[k] for k in [*keys, "bin"]] + [l["left2"] >= r["low2"], l["left2"] <= r["high2"]]
-    return l.join(r, on).select("left_seq", "right_seq", (F.col("right_us") - F.col("left_us")).alias("delta_us"), *[l[k] for k in keys])
+    # other names on the right, so that tables of one origin can be joined
+    r = r.withColumnsRenamed({k: f"_r_{k}" for k in [*keys, "bin"]})
+    on = F.col("left2").between(F.col("low2"), F.col("high2"))
+    for k in [*keys, "bin"]:
+        on &= F.col(k) == F.col(f"_r_{k}")
+    return l.join(r, on).select("left_seq", "right_seq", (F.col("right_us") - F.col("left_us")).alias("delta_us"), *keys)
 
 
 COMMAND_TOLERANCE_US, FRAME_TOLERANCE_US = 2_000_000, 1_000_000

@@ -121,24 +121,37 @@ def _last(c: Column) -> Column:
     return F.last(c, ignorenulls=True)
 
 
-def carried(df: DataFrame, keys: list[str], order: str, value: Column, name: str, how: Callable[[Column], Column] = _last) -> DataFrame:
+def carried(df: DataFrame, keys: list[str], order: str | list[str], value: Column, name: str, how: Callable[[Column], Column] = _last) -> DataFrame:
     """Adds ``name``: the last non-null ``value`` of the earlier rows of the group, or with
-    ``how`` another running aggregate of them that can be nested, such as ``F.max``. Within
-    a piece by a window; what a piece inherits comes from one summary row per piece."""
+    ``how`` another running aggregate of them that can be nested: ``F.max``, ``F.min``,
+    ``F.sum``. Within a piece by a window; what a piece inherits comes from one summary row
+    per piece."""
+    order = [order] if isinstance(order, str) else order
     far = Window.unboundedPreceding
-    inside = Window.partitionBy(*keys, "piece").orderBy(order)
+    inside = Window.partitionBy(*keys, "piece").orderBy(*order)
     df = df.withColumn("_v", value).withColumn("_in", how(F.col("_v")).over(inside.rowsBetween(far, -1)))
-    end = F.max_by("_v", F.when(F.col("_v").isNotNull(), F.col(order))) if how is _last else how(F.col("_v"))
+    end = F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))) if how is _last else how(F.col("_v"))
     across = Window.partitionBy(*keys).orderBy("piece").rowsBetween(far, -1)
     ends = df.groupBy(*keys, "piece").agg(end.alias("_end")).withColumn("_before", how(F.col("_end")).over(across)).where("_before is not null").drop("_end")
     df = df.join(ends, [*keys, "piece"], "left")
-    both = F.coalesce("_in", "_before") if how is _last else how_both(how)
-    return df.withColumn(name, both).drop("_v", "_in", "_before")
+    return df.withColumn(name, _nested(how)).drop("_v", "_in", "_before")
 
 
-def how_both(how: Callable[[Column], Column]) -> Column:
+def _nested(how: Callable[[Column], Column]) -> Column:
+    if how is _last:
+        return F.coalesce("_in", "_before")
     if how is F.max:
         return F.greatest("_in", "_before")
     if how is F.min:
         return F.least("_in", "_before")
-    raise ValueError("only the last value, the maximum and the minimum can be carried")
+    if how is F.sum:
+        return F.when(F.col("_in").isNotNull() | F.col("_before").isNotNull(), F.coalesce("_in", F.lit(0)) + F.coalesce("_before", F.lit(0)))
+    raise ValueError("only the last value, the maximum, the minimum and the sum can be carried")
+
+
+def sequenced(df: DataFrame, keys: list[str], order: str, seq: str = "seq", **hot: int) -> DataFrame:
+    """Records ready for ordered work: without null keys and orders, each stored once, cut
+    into pieces, and partitioned so that windows on keys and piece need no shuffle."""
+    rows = df.where(" and ".join(f"{k} is not null" for k in [*keys, order]))
+    cut = split_hot(rows, keys, order, **hot).drop("core")
+    return cut.repartition(*keys, "piece").dropDuplicates([*keys, "piece", seq])

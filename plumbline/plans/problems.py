@@ -11,7 +11,22 @@ from plumbline.sources.tables import table
 REGISTRY = Registry()
 
 
-@REGISTRY.add("p1_found")
+@REGISTRY.add("p1_found", """
+WITH raw AS (
+  SELECT DISTINCT evidence_id, field, seq, CAST(round(timestamp_seconds * 1e6) AS BIGINT) AS t, lower(trim(new_value)) AS n, lower(trim(previous_value)) AS p
+  FROM state_reconstruction WHERE new_value IS NOT NULL),
+c AS (SELECT evidence_id, field, seq, t,
+    CASE WHEN field IN ('arming_state', 'nav_state') THEN CAST(CAST(CAST(n AS DOUBLE) AS BIGINT) AS VARCHAR) WHEN n IN ('true', '1', '1.0') THEN '1' ELSE '0' END AS n,
+    CASE WHEN p IS NULL THEN NULL WHEN field IN ('arming_state', 'nav_state') THEN CAST(CAST(CAST(p AS DOUBLE) AS BIGINT) AS VARCHAR) WHEN p IN ('true', '1', '1.0') THEN '1' ELSE '0' END AS p
+  FROM raw),
+i AS (SELECT evidence_id, field, t, list(n ORDER BY seq) AS ins, list(p ORDER BY seq) AS outs, count(*) AS k FROM c GROUP BY ALL),
+e AS (SELECT *, list_filter(ins, lambda x: len(list_filter(ins, lambda y: y = x)) > len(list_filter(outs, lambda y: y = x))) AS ends FROM i),
+v AS (SELECT evidence_id, field, t, CASE WHEN k = 1 THEN ins[1] ELSE ends[-1] END AS v, CASE WHEN k > 1 AND len(ends) = 0 THEN list_concat(ins, outs) END AS circle, ins[-1] AS fallback FROM e),
+h AS (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY evidence_id, field ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM v),
+s AS (SELECT evidence_id, field, t, CASE WHEN circle IS NULL THEN v WHEN held IS NULL OR NOT list_contains(circle, held) THEN fallback END AS v FROM h),
+w AS (SELECT *, lag(v) OVER (PARTITION BY evidence_id, field ORDER BY t) AS before FROM s WHERE v IS NOT NULL)
+SELECT evidence_id, field, t AS valid_from_us, coalesce(lead(t) OVER (PARTITION BY evidence_id, field ORDER BY t), -1) AS valid_to_us
+FROM w WHERE before IS NULL OR before <> v""")
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return history.attribute_history(table(spark, d, "state_reconstruction")).select("evidence_id", "field", "valid_from_us", "valid_to_us")
 
@@ -38,14 +53,30 @@ def p3_trips(spark: SparkSession, d: str) -> DataFrame:
     return trips.stops_and_trips(table(spark, d, "gps"))
 
 
-@REGISTRY.add("p4_found")
+@REGISTRY.add("p4_found", """
+WITH acks AS (
+  SELECT c.seq AS l, a.seq AS r, abs(a.timestamp_us - c.command_timestamp_us) AS gap
+  FROM commands c JOIN command_acks a ON a.evidence_id = c.evidence_id AND a.command_id = c.command_id
+  AND a.timestamp_us BETWEEN c.command_timestamp_us - 2000000 AND c.command_timestamp_us + 2000000),
+f AS (SELECT seq, evidence_id, CAST(round((log_offset_s + start_s) * 1e6) AS BIGINT) AS t FROM telemetry_frames),
+p AS (SELECT seq, evidence_id, CAST(round("timestamp" * 1e6) AS BIGINT) AS t FROM gps),
+pings AS (SELECT f.seq AS l, p.seq AS r, abs(p.t - f.t) AS gap FROM f JOIN p ON p.evidence_id = f.evidence_id AND p.t BETWEEN f.t - 1000000 AND f.t + 1000000)
+SELECT 'command_ack' AS kind, l AS left_seq, arg_min(r, (gap, r)) AS right_seq FROM acks GROUP BY l
+UNION ALL SELECT 'frame_gps', l, arg_min(r, (gap, r)) FROM pings GROUP BY l""")
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     acks = nearest.command_acks(table(spark, d, "commands"), table(spark, d, "command_acks"))
     pings = nearest.frame_pings(table(spark, d, "telemetry_frames"), table(spark, d, "gps"))
     return acks.select(F.lit("command_ack").alias("kind"), "left_seq", "right_seq").unionByName(pings.select(F.lit("frame_gps").alias("kind"), "left_seq", "right_seq"))
 
 
-@REGISTRY.add("p5_found")
+@REGISTRY.add("p5_found", """
+WITH r AS (SELECT evidence_id, CAST(floor("timestamp") AS BIGINT) AS slot, x_m IS NOT NULL AND position_valid AS px, vx_m_s IS NOT NULL AND velocity_valid AS pv
+           FROM trajectory WHERE evidence_id IS NOT NULL AND "timestamp" IS NOT NULL),
+g AS (SELECT evidence_id, unnest(generate_series(min(slot), max(slot))) AS slot FROM r GROUP BY evidence_id),
+s AS (SELECT evidence_id, slot, bool_or(px) AS px, bool_or(pv) AS pv FROM r GROUP BY evidence_id, slot)
+SELECT g.evidence_id, f.field, g.slot FROM g CROSS JOIN (VALUES ('x_m'), ('vx_m_s')) f(field)
+LEFT JOIN s ON s.evidence_id = g.evidence_id AND s.slot = g.slot
+WHERE NOT coalesce(CASE WHEN f.field = 'x_m' THEN s.px ELSE s.pv END, false)""")
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return grid.regular_grid(table(spark, d, "trajectory")).where("state <> 'observed'").select("evidence_id", "field", "slot")
 
