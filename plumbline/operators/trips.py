@@ -279,8 +279,9 @@ def stops_and_trips(gps: DataFrame, radius: float = RADIUS_M, least: float = LEA
     ).otherwise(0.0)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     events = events.withColumn("no", F.sum(begins.cast("int")).over(upto)).withColumn("offset", F.sum(link).over(upto))
-    # path length from the log's start, over the borders of its pieces
-    offsets = F.map_from_entries(F.array_distinct(F.collect_list(F.when(F.col("kind") == STRETCH, F.struct("piece", "offset"))).over(log)))
+    # path length from the log's start, over the borders of its pieces: one entry per piece
+    enters = (F.col("kind") == STRETCH) & (F.col("prev").isNull() | (F.col("prev.piece") != F.col("piece")))
+    offsets = F.map_from_entries(F.collect_list(F.when(enters, F.struct("piece", "offset"))).over(log))
     events = events.withColumn("offsets", offsets)
     first = F.struct(F.col("first_s").alias("s"), F.col("first_seq").alias("seq"), (F.col("first_m") + F.col("offsets")[F.col("piece")]).alias("m"))
     last = F.struct(F.col("last_s").alias("s"), F.col("last_seq").alias("seq"), (F.col("last_m") + F.col("offsets")[F.col("last_piece")]).alias("m"))

@@ -4,9 +4,12 @@ same over whole tables."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -19,9 +22,15 @@ class Registry:
         def put(query: Query) -> Query:
             if name in self.queries:
                 raise ValueError(f"query {name} exists")
-            self.queries[name] = query
+
+            @wraps(query)
+            def shipped(spark: SparkSession, root: str) -> DataFrame:
+                ship(spark)
+                return query(spark, root)
+
+            self.queries[name] = shipped
             if sql:
-                self.sql[name] = sql
-            return query
+                self.sql[name] = sql.strip()
+            return shipped
 
         return put
