@@ -34,6 +34,8 @@ from plumbline.operators.written import written
 
 #: A pile holds at least so many texts, and so many times what the lengths around it hold.
 PILE_TEXTS, PILE_TIMES, AROUND = 8, 12.0, 0.15
+#: and at least this share of it shows by its form or last words that something is missing.
+PILE_SHOWN = 0.3
 #: A prefix is unknown if its count is at most this share of its best word's, which in turn
 #: occurs at least so often.
 RARE, KNOWN = 0.02, 4
@@ -48,6 +50,7 @@ _TOKEN = re.compile(r"(?:[^\W_]|\*)+(?:'[^\W_]+)*'?|\x1e")
 _TIMES_END = re.compile(r"(?:^|\n)[ \t]*\d{1,3}:[\d:.,]*(?:[ \t]*-{0,2}>?[ \t]*[\d:.,]*)?$|-->[ \t]*[\d:.,]*$")
 _NUMBER_END = re.compile(r"\n[ \t]*\n[ \t]*\d+(?:\n[ \t]*[\d:.,]*)?$")
 _OPENERS = re.compile(r"(?:[\[({<¿¡“«]|</?\w{0,6}|(?:^|\n)[ \t]*-)$")
+_DOTS = re.compile(r"[ \t]*(?:…|\.{3})$")
 _CLOSERS = ".?!…)]}>♪=\"”»:;"
 _BLANK = "\ufeff \t\n\v\f\r\x00\xa0"
 
@@ -90,6 +93,8 @@ def read_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if not body.isascii():
                 body = repaired(body)
+            # dots may be a speaker's or stand for what a field limit took
+            body = _DOTS.sub("", body) or body
             words = [CUE, *tokens(body)]
             # the last phrase is what is asked about, so it is not counted as evidence
             seen.update(zip(words[:-2], words[1:-1], strict=True))
@@ -123,16 +128,17 @@ def phrase_trie(phrases: DataFrame) -> DataFrame:
 
 def piles(ends: DataFrame) -> DataFrame:
     """``(source, unit, size)``: the lengths at which a source cuts. A pile stands out from
-    the lengths below it, and little lies above it."""
+    the lengths below it, little lies above it, and its texts end in the middle (``shown``)
+    far more often than files that just happen to be equally long."""
     each = F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))
-    counts = ends.select("source", F.explode(each).alias("x")).groupBy("source", "x.unit", "x.size").agg(F.count(F.lit(1)).alias("n"))
+    counts = ends.select("source", "shown", F.explode(each).alias("x")).groupBy("source", "x.unit", "x.size").agg(F.count(F.lit(1)).alias("n"), F.count_if("shown").alias("shown"))
     counts = counts.withColumn("log", F.floor(F.log(F.col("size").cast("double")) * 10_000))
     near = Window.partitionBy("source", "unit").orderBy("log")
     below = F.coalesce(F.sum("n").over(near.rangeBetween(-int(AROUND * 10_000), -1)), F.lit(0))
     above = F.coalesce(F.sum("n").over(near.rangeBetween(1, int(AROUND * 10_000))), F.lit(0))
     usual = below / (F.col("size") * AROUND)
     counts = counts.withColumns({"usual": usual, "above": above})
-    return counts.where((F.col("n") >= PILE_TEXTS) & (F.col("n") >= PILE_TIMES * F.col("usual")) & (F.col("n") >= 3 * F.col("above"))).select("source", "unit", "size")
+    return counts.where((F.col("shown") >= PILE_SHOWN * F.col("n")) & (F.col("n") >= PILE_TEXTS) & (F.col("n") >= PILE_TIMES * F.col("usual")) & (F.col("n") >= 3 * F.col("above"))).select("source", "unit", "size")
 
 
 def truncated_texts(documents: DataFrame) -> DataFrame:
@@ -151,7 +157,8 @@ def truncated_texts(documents: DataFrame) -> DataFrame:
     prefix = (F.coalesce("count", F.lit(0)) <= F.col("best") * RARE) | (F.coalesce("seen", F.lit(0)) <= F.col("best_after") * RARE)
     phrase = (F.col("seen") >= PHRASES) & (F.col("ends") <= F.col("seen") * ENDS)
     cut = asked.where(F.coalesce(prefix, F.lit(False)) | F.coalesce(phrase, F.lit(False))).select("w1", "w2", F.lit(True).alias("cut"))
-    ends = ends.join(cut, ["w1", "w2"], "left").withColumn("cut", F.col("cut") & F.col("open"))
+    ends = ends.join(cut, ["w1", "w2"], "left").withColumn("cut", F.coalesce(F.col("cut") & F.col("open"), F.lit(False)))
+    ends = ends.withColumn("shown", F.col("form") | F.col("cut"))
 
     # some sources times two units; a handful of lengths each
     found = piles(ends).groupBy("source", "unit").agg(F.collect_set("size").alias("sizes"))
@@ -165,7 +172,7 @@ def truncated_texts(documents: DataFrame) -> DataFrame:
         return F.coalesce(F.exists(f"{unit}_limits", lambda x: (F.col(unit) >= x - 3) & (F.col(unit) <= x + over)), F.lit(False))
 
     ends = ends.withColumn("limit", at_limit("chars") | at_limit("bytes")).drop("chars_limits", "bytes_limits")
-    own = F.col("form") | F.coalesce("cut", F.lit(False)) | F.col("limit")
+    own = F.col("shown") | F.col("limit")
     ends = ends.select("doc_id", "source", "hash", own.alias("own"), "limit")
     copies = ends.where("limit").select("hash").distinct().withColumn("copy", F.lit(True))
     return ends.join(copies, "hash", "left").select("doc_id", "source", (F.col("own") | F.coalesce("copy", F.lit(False))).alias("truncated"))
