@@ -55,7 +55,7 @@ class SpikeRule:
 
 
 POSITION = SpikeRule(low=-180.0, high=180.0, rate=22.0, floor=9.0)
-ALTITUDE = SpikeRule(low=-600.0, high=25_000.0, rate=4.0, floor=4.0, k=7.0, slack=1.0)
+ALTITUDE = SpikeRule(low=-600.0, high=25_000.0, rate=2.0, floor=4.0, k=7.0, slack=1.0)
 HEIGHT = SpikeRule(low=-2_000.0, high=20_000.0, rate=4.0, floor=2.5)
 
 
