@@ -105,7 +105,7 @@ def bootstrap_interval(per_group: DataFrame, value: str, samples: int = 2_000, s
     copies = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
     drawn = rows.select("id", "v", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample")).select("v", "sample", draw).withColumn("n", copies)
     means = drawn.groupBy("sample").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("m"))
-    bounds = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("b"))
-    return rows.agg(F.count(F.lit(1)).alias("groups"), F.avg("v").alias("mean")).crossJoin(bounds).select(
-        "groups", "mean", F.when(F.col("groups") > 1, F.col("b")[0]).alias("low"), F.when(F.col("groups") > 1, F.col("b")[1]).alias("high")
-    )
+    bounds = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("b")).withColumn("_one", F.lit(1))
+    # one row each
+    whole = rows.agg(F.count(F.lit(1)).alias("groups"), F.avg("v").alias("mean")).withColumn("_one", F.lit(1))
+    return whole.join(bounds, "_one").select("groups", "mean", F.when(F.col("groups") > 1, F.col("b")[0]).alias("low"), F.when(F.col("groups") > 1, F.col("b")[1]).alias("high"))

@@ -328,8 +328,9 @@ def forecast_predictor(spark: SparkSession, d: str) -> DataFrame:
     """Mean over logs of their mean errors, and the model with the lowest."""
     per = forecast_metrics(spark, d).where("evidence_id is not null")
     macro = per.groupBy("model").agg((F.sum(F.floor(F.col("ade_m") * 1e6 + 0.5).cast("bigint")).cast("double") / F.count(F.lit(1)) / 1e6).alias("macro_ade_m"), F.count(F.lit(1)).alias("logs"))
-    best = macro.agg(F.min("macro_ade_m").alias("_least"))
-    return macro.crossJoin(best).select("model", "macro_ade_m", "logs", (F.col("macro_ade_m") == F.col("_least")).alias("selected"))
+    # a row per model: two
+    both = macro.agg(F.collect_list(F.struct("model", "macro_ade_m", "logs")).alias("models"), F.min("macro_ade_m").alias("least"))
+    return both.select(F.explode("models").alias("m"), "least").select("m.*", (F.col("m.macro_ade_m") == F.col("least")).alias("selected"))
 
 
 @REGISTRY.add("forecast_interval")

@@ -11,6 +11,36 @@ from plumbline.sources.tables import table
 REGISTRY = Registry()
 
 
+def _instants_sql() -> str:
+    """The cascade of patterns is the operator's; what is done with its parts is SQL."""
+    match, fill = [], []
+    for pattern, order in timestamps.CASCADE:
+        to = "|".join(f"\\{g}" if g else "" for g in order)
+        match.append(f"WHEN regexp_matches(t, '{pattern}') THEN regexp_replace(t, '{pattern}', '{to}')")
+    zones = ", ".join(f"('{k}', {v})" for k, v in timestamps.ZONE_MINUTES.items())
+    months = ", ".join(f"'{m}'" for m in timestamps.MONTHS)
+    fill = " ".join(match)
+    offset = r"([+-])(\d{1,2}):?(\d{2})?$"
+    return rf"""
+WITH z AS (SELECT source_id, CASE WHEN count(DISTINCT clock_zone) = 1 THEN min(clock_zone) END AS zone FROM clock_sources GROUP BY source_id),
+a(name, minutes) AS (VALUES {zones}),
+r AS (SELECT DISTINCT 'telemetry_frames' AS table_name, seq AS row_no, regexp_replace(device_time, '^[\s\x00]+|[\s\x00]+$', '', 'g') AS t, recorder_id AS source_id, evidence_id || '/' || video_id AS video, frame_index FROM telemetry_frames WHERE device_time IS NOT NULL
+  UNION ALL SELECT DISTINCT 'chain_of_custody', event_id, regexp_replace(timestamp_utc, '^[\s\x00]+|[\s\x00]+$', '', 'g'), station_id, NULL, NULL FROM chain_of_custody WHERE timestamp_utc IS NOT NULL),
+p AS (SELECT *, string_split(CASE {fill} END, '|') AS x, CASE WHEN regexp_matches(t, '^[0-9]{{9,20}}$') THEN try_cast(t AS BIGINT) END AS e FROM r),
+q AS (SELECT *, coalesce(try_cast(x[2] AS BIGINT), list_position([{months}], lower(left(x[2], 3)))) AS mo, try_cast(x[4] AS BIGINT) AS h, lower(left(x[8], 1)) AS half, upper(x[9]) AS w FROM p),
+l AS (SELECT q.*, epoch_us(try(make_timestamp(CAST(x[1] AS BIGINT), CAST(mo AS BIGINT), CAST(x[3] AS BIGINT), CASE half WHEN '' THEN h WHEN 'a' THEN h % 12 ELSE h % 12 + 12 END, CAST(x[5] AS BIGINT), CAST(coalesce(try_cast(x[6] AS BIGINT), 0) AS DOUBLE))))
+    + CAST(rpad(left(x[7], 6), 6, '0') AS BIGINT) AS local_us,
+  CASE WHEN regexp_matches(w, '{offset}') THEN (CASE WHEN regexp_extract(w, '{offset}', 1) = '-' THEN -1 ELSE 1 END) * (CAST(regexp_extract(w, '{offset}', 2) AS BIGINT) * 60 + coalesce(try_cast(regexp_extract(w, '{offset}', 3) AS BIGINT), 0)) ELSE a.minutes END AS minutes
+  FROM q LEFT JOIN a ON a.name = w),
+u AS (SELECT l.*, zone, CASE WHEN e IS NOT NULL THEN CASE WHEN e < 1000000000 THEN NULL WHEN e < 100000000000 THEN e * 1000000 WHEN e < 100000000000000 THEN e * 1000 WHEN e < 100000000000000000 THEN e ELSE e // 1000 END ELSE local_us - minutes * 60000000 END AS told,
+  CASE WHEN w = '' AND minutes IS NULL THEN epoch_us(timezone(zone, make_timestamp(local_us))) END AS late FROM l LEFT JOIN z USING (source_id)),
+f AS (SELECT *, told IS NULL AND timezone(zone, make_timestamptz(late - 3600000000)) = make_timestamp(local_us) AS twice FROM u),
+m AS (SELECT *, twice AND max(CASE WHEN twice THEN local_us END) OVER (PARTITION BY table_name, video ORDER BY frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - local_us >= 1800000000 AND video IS NOT NULL AS again FROM f)
+SELECT table_name, row_no, CAST(coalesce(told, CASE WHEN twice AND NOT coalesce(again, false) THEN late - 3600000000 ELSE late END) AS BIGINT) AS utc_us FROM m WHERE coalesce(told, late) IS NOT NULL
+UNION ALL SELECT DISTINCT 'forensic_timeline', seq, CAST(CASE WHEN boot_utc_us IS NOT NULL THEN boot_utc_us + timestamp_us WHEN timestamp_us < 1000000000 THEN NULL WHEN timestamp_us < 100000000000 THEN timestamp_us * 1000000 WHEN timestamp_us < 100000000000000 THEN timestamp_us * 1000
+  WHEN timestamp_us < 100000000000000000 THEN timestamp_us ELSE timestamp_us // 1000 END AS BIGINT) FROM forensic_timeline WHERE timestamp_us > 0 AND (boot_utc_us IS NOT NULL OR timestamp_us >= 1000000000)"""
+
+
 @REGISTRY.add("p1_found", """
 WITH raw AS (
   SELECT DISTINCT evidence_id, field, seq, CAST(round(timestamp_seconds * 1e6) AS BIGINT) AS t, lower(trim(new_value)) AS n, lower(trim(previous_value)) AS p
@@ -37,7 +67,7 @@ def p1_history(spark: SparkSession, d: str) -> DataFrame:
     return history.attribute_history(table(spark, d, "state_reconstruction"))
 
 
-@REGISTRY.add("p2_found")
+@REGISTRY.add("p2_found", _instants_sql())
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return timestamps.all_instants(*(table(spark, d, t) for t in ("telemetry_frames", "chain_of_custody", "forensic_timeline", "clock_sources")))
 
