@@ -41,7 +41,7 @@ UNION ALL SELECT DISTINCT 'forensic_timeline', seq, CAST(CASE WHEN boot_utc_us I
   WHEN timestamp_us < 100000000000000000 THEN timestamp_us ELSE timestamp_us // 1000 END AS BIGINT) FROM forensic_timeline WHERE timestamp_us > 0 AND (boot_utc_us IS NOT NULL OR timestamp_us >= 1000000000)"""
 
 
-@REGISTRY.add("p1_found", """
+_VERSIONS = """
 WITH raw AS (
   SELECT DISTINCT evidence_id, field, seq, CAST(round(timestamp_seconds * 1e6) AS BIGINT) AS t, lower(trim(new_value)) AS n, lower(trim(previous_value)) AS p
   FROM state_reconstruction WHERE new_value IS NOT NULL),
@@ -54,14 +54,17 @@ e AS (SELECT *, list_filter(ins, lambda x: len(list_filter(ins, lambda y: y = x)
 v AS (SELECT evidence_id, field, t, CASE WHEN k = 1 THEN ins[1] ELSE ends[-1] END AS v, CASE WHEN k > 1 AND len(ends) = 0 THEN list_concat(ins, outs) END AS circle, ins[-1] AS fallback FROM e),
 h AS (SELECT *, last_value(v IGNORE NULLS) OVER (PARTITION BY evidence_id, field ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM v),
 s AS (SELECT evidence_id, field, t, CASE WHEN circle IS NULL THEN v WHEN held IS NULL OR NOT list_contains(circle, held) THEN fallback END AS v FROM h),
-w AS (SELECT *, lag(v) OVER (PARTITION BY evidence_id, field ORDER BY t) AS before FROM s WHERE v IS NOT NULL)
-SELECT evidence_id, field, t AS valid_from_us, coalesce(lead(t) OVER (PARTITION BY evidence_id, field ORDER BY t), -1) AS valid_to_us
-FROM w WHERE before IS NULL OR before <> v""")
+w AS (SELECT *, lag(v) OVER (PARTITION BY evidence_id, field ORDER BY t) AS before FROM s WHERE v IS NOT NULL),
+y AS (SELECT evidence_id, field, v AS value, row_number() OVER (PARTITION BY evidence_id, field ORDER BY t) AS version, t AS valid_from_us, coalesce(lead(t) OVER (PARTITION BY evidence_id, field ORDER BY t), -1) AS valid_to_us
+  FROM w WHERE before IS NULL OR before <> v)"""
+
+
+@REGISTRY.add("p1_found", f"{_VERSIONS} SELECT evidence_id, field, valid_from_us, valid_to_us FROM y")
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return history.attribute_history(table(spark, d, "state_reconstruction")).select("evidence_id", "field", "valid_from_us", "valid_to_us")
 
 
-@REGISTRY.add("p1_history")
+@REGISTRY.add("p1_history", f"{_VERSIONS} SELECT * FROM y")
 def p1_history(spark: SparkSession, d: str) -> DataFrame:
     """The versions with their values and numbers."""
     return history.attribute_history(table(spark, d, "state_reconstruction"))
