@@ -49,8 +49,9 @@ class SpikeRule:
     slack: float = 1.25
     noise_floor: float = 0.05
     burst: int = 4
-    stuck: int = 5
+    stuck: int = 6
     repeat_share: float = 0.06
+    held_share: float = 0.5
     wavelet_k: float = 4.0
 
 
@@ -98,7 +99,10 @@ def zero_detail_runs(v: np.ndarray, group: np.ndarray, groups: int, rule: SpikeR
     long = run > rule.stuck
     others = np.bincount(group[~long], minlength=groups)
     repeats = np.bincount(group[~long & same], minlength=groups)
-    return long & same & (repeats <= rule.repeat_share * np.maximum(others, 1))[group]
+    # a source that spends most of its readings in such runs repeats by nature
+    held = np.bincount(group[long], minlength=groups)
+    differ = (repeats <= rule.repeat_share * np.maximum(others, 1)) & (held <= rule.held_share * np.maximum(held + others, 1))
+    return long & same & differ[group]
 
 
 def off_course(
