@@ -22,6 +22,9 @@ PIECES = 128
 #: Up to so many hot groups, their cuts (1 kB each) are broadcast; beyond, they are joined
 #: by a shuffle.
 BROADCAST_GROUPS = 10_000
+#: Mark of a ``piece`` column that is 0 throughout, as no group is hot: nothing can be
+#: inherited from other pieces then, and the plan needn't look for it.
+WHOLE = {"whole": True}
 
 
 def hot_cuts(df: DataFrame, keys: list[str], order: str, hot_rows: int = HOT_ROWS, pieces: int = PIECES) -> tuple[DataFrame | None, int]:
@@ -52,7 +55,7 @@ def place_in(df: DataFrame, keys: list[str], order: str, cuts: DataFrame | None,
     """``split_hot`` with the cuts at hand; also adds ``cut`` (boolean): the row's group is
     cut into pieces."""
     if cuts is None:
-        return df.withColumns({"piece": F.lit(0), "core": F.lit(True), "cut": F.lit(False)})
+        return df.withColumns({"piece": F.lit(0), "core": F.lit(True), "cut": F.lit(False)}).withMetadata("piece", WHOLE)
 
     def place(t: Column) -> Column:
         return F.coalesce(F.size(F.filter("_cuts", lambda c: c <= t)), F.lit(0))
@@ -129,6 +132,8 @@ def carried(df: DataFrame, keys: list[str], order: str | list[str], value: Colum
     order = [order] if isinstance(order, str) else order
     far = Window.unboundedPreceding
     inside = Window.partitionBy(*keys, "piece").orderBy(*order)
+    if df.schema["piece"].metadata.get("whole"):
+        return df.withColumn("_v", value).withColumn(name, how(F.col("_v")).over(inside.rowsBetween(far, -1))).drop("_v")
     df = df.withColumn("_v", value).withColumn("_in", how(F.col("_v")).over(inside.rowsBetween(far, -1)))
     end = F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))) if how is _last else how(F.col("_v"))
     across = Window.partitionBy(*keys).orderBy("piece").rowsBetween(far, -1)
