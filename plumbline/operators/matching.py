@@ -43,14 +43,20 @@ def exact_pairs(commands: DataFrame, acks: DataFrame, window_us: int = ACK_WINDO
     return band_pairs(c, a, ["evidence_id", "command_id"], -window_us, window_us)
 
 
+def mismatches(lone: DataFrame, acks: DataFrame, window_us: int = ACK_WINDOW_US) -> DataFrame:
+    """Commands that have no acknowledgement of their id, each with every one of another id
+    within the window; both as :func:`sides` gives them."""
+    other = acks.withColumnsRenamed({"command_id": "ack_id"}).where("ack_id is not null")
+    return band_pairs(lone, other, ["evidence_id"], -window_us, window_us).where(F.col("command_id").isNull() | (F.col("ack_id") != F.col("command_id")))
+
+
 def commands_without_ack(commands: DataFrame, acks: DataFrame, window_us: int = ACK_WINDOW_US) -> DataFrame:
     """Commands with no acknowledgement of their id in the window, with the nearest one of
     another id there and how many of those there are. A command without id has none of its id."""
     c, a = sides(commands, acks)
     matched = band_pairs(c, a, ["evidence_id", "command_id"], -window_us, window_us).select("left_seq").distinct()
     lone = c.join(matched, "left_seq", "left_anti")
-    other = a.withColumnsRenamed({"command_id": "ack_id"}).where("ack_id is not null")
-    near = band_pairs(lone, other, ["evidence_id"], -window_us, window_us).where(F.col("command_id").isNull() | (F.col("ack_id") != F.col("command_id")))
+    near = mismatches(lone, a, window_us)
     gap = F.abs(F.col("right_us") - F.col("left_us"))
     best = near.groupBy("left_seq").agg(F.min_by(F.struct("right_seq", "ack_id", "right_us"), F.struct(gap, F.col("right_seq"))).alias("b"), F.count(F.lit(1)).alias("candidates"))
     out = lone.join(best, "left_seq", "left")
@@ -61,9 +67,13 @@ def commands_without_ack(commands: DataFrame, acks: DataFrame, window_us: int =
 
 
 def acks_without_command(commands: DataFrame, acks: DataFrame, window_us: int = ACK_WINDOW_US) -> DataFrame:
-    """Acknowledgements with an id that no command of that id in the window explains."""
+    """Acknowledgements with an id that no command of that id in the window explains, nor a
+    command there whose own id nobody acknowledged: to that one they are a mismatch. A
+    command without id makes no mismatch."""
     c, a = sides(commands, acks)
-    used = band_pairs(c, a, ["evidence_id", "command_id"], -window_us, window_us).select("right_seq").distinct()
+    exact = band_pairs(c, a, ["evidence_id", "command_id"], -window_us, window_us)
+    lone = c.where("command_id is not null").join(exact.select("left_seq").distinct(), "left_seq", "left_anti")
+    used = exact.select("right_seq").unionByName(mismatches(lone, a, window_us).select("right_seq")).distinct()
     return a.where("command_id is not null").join(used, "right_seq", "left_anti").select("evidence_id", F.col("right_seq").alias("ack_seq"), "command_id", "at_us")
 
 

@@ -50,3 +50,17 @@ def test_statistics_of_nothing(spark):
     r = statistics.bootstrap_interval(spark.createDataFrame([(str(k), float(k)) for k in range(40)], "id string, v double"), "v", samples=300).first()
     assert r["mean"] == 19.5 and 14 < r["low"] < 19.5 < r["high"] < 25
     assert statistics.bootstrap_interval(e.withColumnRenamed("k", "id"), "v", samples=10).first()["low"] is None
+
+
+def test_acks_near_a_command_of_another_id_are_its_mismatches(spark):
+    commands = [("near", 1, 10_000_000, 521), ("far", 2, 10_000_000, 521), ("acknowledged", 3, 10_000_000, 521), ("no id", 4, 10_000_000, None), ("several", 5, 10_000_000, 521), ("edge", 6, 10_000_000, 521)]
+    acks = [
+        ("near", 11, 9_996_000, 512, 2), ("far", 12, 100_000_000, 512, 0), ("acknowledged", 13, 10_030_000, 521, 0), ("acknowledged", 14, 10_040_000, 512, 0), ("no id", 15, 10_010_000, 512, 0),
+        ("several", 16, 9_000_000, 512, 0), ("several", 17, 11_000_000, 513, 0), ("edge", 18, 15_000_000, 512, 0), ("edge", 19, 15_000_001, 512, 0), ("lone", 20, 50_000_000, 512, 0), ("lone", 21, 50_000_000, None, 0),
+    ]
+    c = spark.createDataFrame(commands * 2, "evidence_id string, seq long, command_timestamp_us long, command_id int")
+    a = spark.createDataFrame(acks * 2, "evidence_id string, seq long, timestamp_us long, command_id int, result int")
+    assert sorted(r["ack_seq"] for r in matching.acks_without_command(c, a).collect()) == [12, 14, 15, 19, 20]
+    # the commands themselves keep their nearest acknowledgement and its candidates
+    got = {r["command_seq"]: (r["nearest_ack_seq"], r["candidates"]) for r in matching.commands_without_ack(c, a).collect()}
+    assert got == {1: (11, 1), 2: (None, 0), 4: (15, 1), 5: (16, 2), 6: (18, 1)}
