@@ -43,17 +43,18 @@ def hot_cuts(df: DataFrame, keys: list[str], order: str, hot_rows: int = HOT_ROW
 
 
 def split_hot(df: DataFrame, keys: list[str], order: str, margin: float = 0.0, hot_rows: int = HOT_ROWS, pieces: int = PIECES) -> DataFrame:
-    """Adds ``piece`` (int) and ``core`` (boolean).
+    """Adds ``piece`` (int) and ``core`` (boolean), with a margin also ``cut`` (boolean).
 
     Rows within ``margin`` of a piece in ``order`` are repeated in it with ``core`` false.
     Rows at one instant stay together. Null keys or orders fall into piece 0."""
     cuts, hot = hot_cuts(df, keys, order, hot_rows, pieces)
-    return place_in(df, keys, order, cuts, hot, margin).drop("cut")
+    out = place_in(df, keys, order, cuts, hot, margin)
+    return out if margin else out.drop("cut")
 
 
 def place_in(df: DataFrame, keys: list[str], order: str, cuts: DataFrame | None, hot: int, margin: float = 0.0) -> DataFrame:
     """``split_hot`` with the cuts at hand; also adds ``cut`` (boolean): the row's group is
-    cut into pieces."""
+    cut into pieces. The metadata of ``piece`` say how many groups are."""
     if cuts is None:
         return df.withColumns({"piece": F.lit(0), "core": F.lit(True), "cut": F.lit(False)}).withMetadata("piece", WHOLE)
 
@@ -65,7 +66,7 @@ def place_in(df: DataFrame, keys: list[str], order: str, cuts: DataFrame | None,
     if not margin:
         return out.withColumns({"piece": F.when(whole, 0).otherwise(place(t)), "core": F.lit(True), "cut": ~whole}).drop("_cuts")
     own, low, high = (F.when(whole | t.isNull(), 0).otherwise(place(x)) for x in (t, t - margin, t + margin))
-    out = out.withColumns({"cut": ~whole, "_own": own}).withColumn("piece", F.explode(F.sequence(low, high)))
+    out = out.withColumns({"cut": ~whole, "_own": own}).withColumn("piece", F.explode(F.sequence(low, high))).withMetadata("piece", {"hot": hot})
     return out.withColumn("core", F.col("piece") == F.col("_own")).drop("_cuts", "_own")
 
 

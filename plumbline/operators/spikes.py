@@ -12,7 +12,9 @@ Three tests run on each source's own readings in time order:
   course by more than the reported rate of change allows, while the readings around
   the burst agree with each other.
 
-Work is spread by ``(source, piece)``; see :mod:`plumbline.operators.pieces`. Defined
+Work is spread by ``(source, piece)``; see :mod:`plumbline.operators.pieces`. What is
+normal in a source that is cut (its shares of repeats, its scales, its usual interval) comes
+from one aggregate over all its pieces (:func:`with_normals`). Defined
 results: null or NaN values and null times are never flagged and take no part; records
 with the same ``seq`` count once; an empty table gives an empty result; a source with
 fewer than four readings is only tested against the bounds; further columns are ignored.
@@ -25,9 +27,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
-from plumbline.operators.pieces import floats, sorted_groups, split_hot
+from plumbline.operators.pieces import BROADCAST_GROUPS, floats, sorted_groups, split_hot
 
 METRES_PER_DEGREE = 111_320.0
 
@@ -58,6 +60,10 @@ class SpikeRule:
 POSITION = SpikeRule(low=-180.0, high=180.0, rate=22.0, floor=9.0)
 ALTITUDE = SpikeRule(low=-600.0, high=25_000.0, rate=2.0, floor=4.0, k=7.0, slack=1.0)
 HEIGHT = SpikeRule(low=-2_000.0, high=20_000.0, rate=4.0, floor=2.5)
+DILATIONS = (1, 2, 4)
+#: What is normal in a source: whether its readings differ, the median detail at each
+#: dilation, the median interval.
+NORMAL = ("differ", *(f"detail_{d}" for d in DILATIONS), "interval")
 
 
 def group_median(values: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
@@ -87,22 +93,36 @@ def wavelet_details(v: np.ndarray, t: np.ndarray, group: np.ndarray, dilation: i
     return out
 
 
-def zero_detail_runs(v: np.ndarray, group: np.ndarray, groups: int, rule: SpikeRule) -> np.ndarray:
-    """Readings that repeat the one before as part of a long run of equal values, in
-    groups whose other readings normally differ."""
+def equal_runs(v: np.ndarray, group: np.ndarray, rule: SpikeRule) -> tuple[np.ndarray, np.ndarray]:
+    """Readings that repeat the one before, and readings of long runs of equal values."""
     n = len(v)
     same = np.zeros(n, bool)
     same[1:] = (group[1:] == group[:-1]) & (v[1:] == v[:-1]).all(1)
     starts = np.flatnonzero(~same)
     length = np.diff(np.r_[starts, n])
-    run = np.repeat(length, length)
-    long = run > rule.stuck
+    return same, np.repeat(length, length) > rule.stuck
+
+
+def zero_detail_runs(v: np.ndarray, group: np.ndarray, groups: int, rule: SpikeRule, normal: np.ndarray | None = None) -> np.ndarray:
+    """Readings that repeat the one before as part of a long run of equal values, in
+    groups whose other readings normally differ."""
+    same, long = equal_runs(v, group, rule)
     others = np.bincount(group[~long], minlength=groups)
     repeats = np.bincount(group[~long & same], minlength=groups)
     # a source that spends most of its readings in such runs repeats by nature
     held = np.bincount(group[long], minlength=groups)
     differ = (repeats <= rule.repeat_share * np.maximum(others, 1)) & (held <= rule.held_share * np.maximum(held + others, 1))
-    return long & same & differ[group]
+    return long & same & (_known(normal, 0, differ.astype(float)) > 0)[group]
+
+
+def intervals(t: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Seconds since the reading before; NaN for the first of a group."""
+    return np.where(np.r_[False, group[1:] == group[:-1]], np.diff(t, prepend=t[:1]), np.nan)
+
+
+def _known(normal: np.ndarray | None, column: int, own: np.ndarray) -> np.ndarray:
+    """What is normal in the whole source, for groups that are pieces of one; else ``own``."""
+    return own if normal is None else np.where(np.isnan(normal[:, 0]), own, normal[:, column])
 
 
 def off_course(
@@ -167,21 +187,24 @@ def off_course(
 
 def judge(
     v: np.ndarray, t: np.ndarray, group: np.ndarray, rule: SpikeRule,
-    rate: np.ndarray | None = None, reset: np.ndarray | None = None,
+    rate: np.ndarray | None = None, reset: np.ndarray | None = None, normal: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Stuck, spike and noise of readings already inside the bounds, sorted by
-    ``(group, t)``; ``group`` is 0, 1, 2, ... without holes, ``v`` is ``(n, dims)``."""
+    ``(group, t)``; ``group`` is 0, 1, 2, ... without holes, ``v`` is ``(n, dims)``.
+    ``normal`` has the columns of NORMAL for each reading, NaN in groups that are whole."""
     n, groups = len(t), int(group[-1]) + 1 if len(group) else 0
     if n == 0:
         return np.zeros(0, bool), np.zeros(0, bool), np.zeros(0)
-    stuck = zero_detail_runs(v, group, groups, rule)
+    if normal is not None:
+        normal = normal[np.r_[True, group[1:] != group[:-1]]]
+    stuck = zero_detail_runs(v, group, groups, rule, normal)
     keep = np.flatnonzero(~stuck)
     kv, kt, kg = v[keep], t[keep], group[keep]
     candidate = np.zeros(len(keep), bool)
     noise = None
-    for dilation in (1, 2, 4):
+    for k, dilation in enumerate(DILATIONS, 1):
         detail = wavelet_details(kv, kt, kg, dilation)
-        scale = group_median(detail, kg, groups)
+        scale = _known(normal, k, group_median(detail, kg, groups))
         if noise is None:
             # a detail of white noise has 1.22 times its spread; its median length is
             # 0.82 (one dimension) or 1.44 (two) times the noise of one coordinate
@@ -191,7 +214,7 @@ def judge(
     ends = np.r_[True, kg[1:] != kg[:-1]] | np.r_[kg[1:] != kg[:-1], True]
     candidate |= ends
     dt = np.diff(kt, prepend=kt[:1])
-    usual = group_median(np.where(np.r_[False, kg[1:] == kg[:-1]], dt, np.nan), kg, groups)
+    usual = _known(normal, 4, group_median(intervals(kt, kg), kg, groups))
     limit = np.maximum(4.5 * np.nan_to_num(usual, nan=1.0), 0.5)
     # a silence counts as a gap unless stuck readings fill it
     before = np.r_[keep[:1], keep[:-1]]
@@ -233,31 +256,107 @@ def dense(group: np.ndarray) -> np.ndarray:
     return np.cumsum(np.r_[False, group[1:] != group[:-1]]) if len(group) else group
 
 
-def judge_positions(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, speed: np.ndarray, group: np.ndarray, rule: SpikeRule = POSITION) -> np.ndarray:
-    """True for each wrong position. A reading with one component missing is judged by the
-    bounds of the other one only."""
+def usable_positions(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions out of bounds; which of the others are whole; their groups and metres."""
     bad = (np.abs(lat) > 90.0) | (np.abs(lon) > 180.0) | ((lat == 0.0) & (lon == 0.0))
     use = np.flatnonzero(~bad & np.isfinite(lat) & np.isfinite(lon) & np.isfinite(t))
+    g = dense(group[use])
+    return bad, use, g, position_metres(lat[use], lon[use], g) if len(use) else np.zeros((0, 2))
+
+
+def usable_values(t: np.ndarray, value: np.ndarray, group: np.ndarray, rule: SpikeRule) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Values out of bounds; which of the others are given; their groups and values."""
+    bad = (value < rule.low) | (value > rule.high)
+    use = np.flatnonzero(~bad & np.isfinite(value) & np.isfinite(t))
+    return bad, use, dense(group[use]), value[use][:, None]
+
+
+def judge_positions(t: np.ndarray, lat: np.ndarray, lon: np.ndarray, speed: np.ndarray, group: np.ndarray, rule: SpikeRule = POSITION, normal: np.ndarray | None = None) -> np.ndarray:
+    """True for each wrong position. A reading with one component missing is judged by the
+    bounds of the other one only."""
+    bad, use, g, v = usable_positions(t, lat, lon, group)
     if len(use):
-        g = dense(group[use])
-        v = position_metres(lat[use], lon[use], g)
-        stuck, spike, _ = judge(v, t[use], g, rule, nearby_rate(speed[use], g, rule.rate))
+        stuck, spike, _ = judge(v, t[use], g, rule, nearby_rate(speed[use], g, rule.rate), None, None if normal is None else normal[use])
         bad[use] |= stuck | spike
     return bad
 
 
-def judge_values(t: np.ndarray, value: np.ndarray, group: np.ndarray, rule: SpikeRule, rate: np.ndarray | None = None, reset: np.ndarray | None = None) -> np.ndarray:
+def judge_values(t: np.ndarray, value: np.ndarray, group: np.ndarray, rule: SpikeRule, rate: np.ndarray | None = None, reset: np.ndarray | None = None, normal: np.ndarray | None = None) -> np.ndarray:
     """True for each wrong value of one quantity."""
-    bad = (value < rule.low) | (value > rule.high)
-    use = np.flatnonzero(~bad & np.isfinite(value) & np.isfinite(t))
+    bad, use, g, v = usable_values(t, value, group, rule)
     if len(use):
-        g = dense(group[use])
         r = None if rate is None else nearby_rate(rate[use], g, rule.rate)
-        stuck, spike, _ = judge(value[use][:, None], t[use], g, rule, r, None if reset is None else reset[use])
+        stuck, spike, _ = judge(v, t[use], g, rule, r, None if reset is None else reset[use], None if normal is None else normal[use])
         bad[use] |= stuck | spike
     return bad
 
 
+#: Of each reading: is it in a long run, does it repeat the one before outside of those, and
+#: its details and interval, without the repeats of long runs and with them.
+_MEASURED = [f"{a}_{b}" for a in ("without", "with") for b in NORMAL[1:]]
+MEASURES = "evidence_id string, field string, held int, repeat int, " + ", ".join(f"{c} double" for c in _MEASURED)
+
+
+def measures(v: np.ndarray, t: np.ndarray, group: np.ndarray, rule: SpikeRule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Held, repeat and the measured columns of usable readings."""
+    same, long = equal_runs(v, group, rule)
+    out = np.full((len(t), len(_MEASURED)), np.nan)
+    for at, keep in ((0, ~(long & same)), (len(DILATIONS) + 1, np.ones(len(t), bool))):
+        k = np.flatnonzero(keep)
+        for c, d in enumerate(DILATIONS):
+            out[k, at + c] = wavelet_details(v[k], t[k], group[k], d)
+        out[k, at + len(DILATIONS)] = intervals(t[k], group[k])
+    return long, same & ~long, out
+
+
+def with_normals(cut: DataFrame, rules: dict[str, SpikeRule]) -> DataFrame:
+    """Adds what is normal in each source that is cut, as ``<field>_<column of NORMAL>``, null
+    in sources that are whole. Every piece measures its core readings; counts and medians
+    (within a ten thousandth of the ranks) are partial aggregates, one row per source is joined."""
+    about = cut.schema["piece"].metadata
+    if about.get("whole"):
+        return cut
+
+    def measured(t: pa.Table, group: np.ndarray) -> pa.Table:
+        new = fresh(t, group)
+        t, group = t.filter(pa.array(new)), group[new]
+        at, core, names = floats(t, "timestamp"), t.column("core").to_numpy(zero_copy_only=False), t.column("evidence_id")
+        parts = []
+        for field, rule in rules.items():
+            if field == "position":
+                _, use, g, v = usable_positions(at, floats(t, "latitude"), floats(t, "longitude"), group)
+            else:
+                _, use, g, v = usable_values(at, floats(t, field), group, rule)
+            if not len(use):
+                continue
+            held, repeat, numbers = measures(v, at[use], g, rule)
+            own = core[use]
+            columns = {"evidence_id": names.take(pa.array(use[own])), "field": pa.array([field] * int(own.sum()), pa.string())}
+            columns |= {"held": pa.array(held[own].astype(np.int32)), "repeat": pa.array(repeat[own].astype(np.int32))}
+            columns |= {c: pa.array(numbers[own, k], from_pandas=True) for k, c in enumerate(_MEASURED)}
+            parts.append(pa.table(columns))
+        return pa.concat_tables(parts) if parts else none
+
+    none = pa.table({"evidence_id": pa.array([], pa.string()), "field": pa.array([], pa.string()), "held": pa.array([], pa.int32()), "repeat": pa.array([], pa.int32()), **{c: pa.array([], pa.float64()) for c in _MEASURED}})
+    rows = sorted_groups(cut.where("cut"), ["evidence_id", "piece"], ["timestamp", "seq"], measured, MEASURES)
+    sums = rows.groupBy("evidence_id", "field").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("held").alias("held"), F.sum("repeat").alias("repeats"), *[F.percentile_approx(c, F.lit(0.5), F.lit(10_000)).alias(c) for c in _MEASURED]
+    )
+    columns = []
+    for field, rule in rules.items():
+        differ = (F.col("repeats") <= rule.repeat_share * F.greatest(F.col("n") - F.col("held"), F.lit(1))) & (F.col("held") <= rule.held_share * F.greatest(F.col("n"), F.lit(1)))
+        values = {"differ": differ.cast("double")} | {c: F.when(differ, F.col(f"without_{c}")).otherwise(F.col(f"with_{c}")) for c in NORMAL[1:]}
+        columns += [F.max(F.when(F.col("field") == field, x)).alias(f"{field}_{c}") for c, x in values.items()]
+    normals = sums.groupBy("evidence_id").agg(*columns)
+    return cut.join(F.broadcast(normals) if about["hot"] <= BROADCAST_GROUPS else normals, "evidence_id", "left")
+
+
+def normals(t: pa.Table, field: str) -> np.ndarray | None:
+    """What :func:`with_normals` added for a field; None if no source is cut."""
+    names = [f"{field}_{c}" for c in NORMAL]
+    return np.stack([floats(t, c) for c in names], 1) if names[0] in t.column_names else None
+
+
 #: Seconds of neighbouring readings that a piece of a cut source sees on either side.
 MARGIN_S = 300.0
 FOUND = "table_name string, seq bigint, field string"
@@ -286,13 +385,13 @@ def gps_outliers(gps: DataFrame, position: SpikeRule = POSITION, altitude: Spike
         t, group = t.filter(pa.array(new)), group[new]
         at = floats(t, "timestamp")
         marks = {
-            "position": judge_positions(at, floats(t, "latitude"), floats(t, "longitude"), floats(t, "speed_m_s"), group, position),
-            "altitude_m": judge_values(at, floats(t, "altitude_m"), group, altitude),
+            "position": judge_positions(at, floats(t, "latitude"), floats(t, "longitude"), floats(t, "speed_m_s"), group, position, normals(t, "position")),
+            "altitude_m": judge_values(at, floats(t, "altitude_m"), group, altitude, normal=normals(t, "altitude_m")),
         }
         return _found("gps", marks, t.column("seq").to_numpy(), t.column("core").to_numpy(zero_copy_only=False))
 
     rows = gps.select("evidence_id", "seq", "timestamp", "latitude", "longitude", "altitude_m", "speed_m_s").where("timestamp is not null and seq is not null")
-    cut = split_hot(rows, ["evidence_id"], "timestamp", MARGIN_S)
+    cut = with_normals(split_hot(rows, ["evidence_id"], "timestamp", MARGIN_S), {"position": position, "altitude_m": altitude})
     return sorted_groups(cut, ["evidence_id", "piece"], ["timestamp", "seq"], wrong, FOUND)
 
 
@@ -305,12 +404,12 @@ def trajectory_outliers(trajectory: DataFrame, height: SpikeRule = HEIGHT) -> Da
         t, group = t.filter(pa.array(new)), group[new]
         marks = {"z_m": judge_values(
             floats(t, "timestamp"), floats(t, "z_m"), group, height, floats(t, "vz_m_s"),
-            np.nan_to_num(floats(t, "vertical_reset_counter"), nan=-1.0),
+            np.nan_to_num(floats(t, "vertical_reset_counter"), nan=-1.0), normals(t, "z_m"),
         )}
         return _found("trajectory", marks, t.column("seq").to_numpy(), t.column("core").to_numpy(zero_copy_only=False))
 
     rows = trajectory.select("evidence_id", "seq", "timestamp", "z_m", "vz_m_s", "vertical_reset_counter").where("timestamp is not null and seq is not null")
-    cut = split_hot(rows, ["evidence_id"], "timestamp", MARGIN_S)
+    cut = with_normals(split_hot(rows, ["evidence_id"], "timestamp", MARGIN_S), {"z_m": height})
     return sorted_groups(cut, ["evidence_id", "piece"], ["timestamp", "seq"], wrong, FOUND)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.operators.pieces import floats, hot_cuts, place_in, sorted_groups
 from plumbline.operators.written import written
-from plumbline.operators.spikes import MARGIN_S, METRES_PER_DEGREE, fresh, judge_positions
+from plumbline.operators.spikes import MARGIN_S, METRES_PER_DEGREE, POSITION, fresh, judge_positions, normals, with_normals
 
 RADIUS_M, LEAST_S, SILENCE_S = 15.0, 60.0, 180.0
 PARTS = (
@@ -100,7 +100,7 @@ def _piece_parts(radius: float, least: float, silence: float):
         new = fresh(table, group)
         table, group = table.filter(pa.array(new)), group[new]
         t, lat, lon = (floats(table, c) for c in ("timestamp", "latitude", "longitude"))
-        bad = judge_positions(t, lat, lon, floats(table, "speed_m_s"), group)
+        bad = judge_positions(t, lat, lon, floats(table, "speed_m_s"), group, normal=normals(table, "position"))
         use = ~bad & np.isfinite(lat) & np.isfinite(lon) & table.column("core").to_numpy(zero_copy_only=False)
         table, group, t, lat, lon = table.filter(pa.array(use)), group[use], t[use], lat[use], lon[use]
         seq = table.column("seq").to_numpy()
@@ -256,7 +256,7 @@ def stops_and_trips(gps: DataFrame, radius: float = RADIUS_M, least: float = LEA
     rows = gps.select("evidence_id", "seq", "timestamp", "latitude", "longitude", "speed_m_s").where("timestamp is not null and seq is not null")
     cuts, number = hot_cuts(rows, ["evidence_id"], "timestamp", **hot)
     whole = cuts is None  # then no island can span pieces
-    cut = place_in(rows, ["evidence_id"], "timestamp", cuts, number, MARGIN_S)
+    cut = with_normals(place_in(rows, ["evidence_id"], "timestamp", cuts, number, MARGIN_S), {"position": POSITION})
     parts = sorted_groups(cut, ["evidence_id", "piece"], ["timestamp", "seq"], _piece_parts(radius, least, silence), PARTS)
     if not whole:
         parts = written(parts)

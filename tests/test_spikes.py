@@ -57,3 +57,35 @@ def test_resets_are_genuine_and_empty(spark):
     rows[30] = ("a", 30, 15.0, 60.0, 0.0, 0)
     assert [r["seq"] for r in trajectory_outliers(spark.createDataFrame(rows, schema)).collect()] == [30]
     assert trajectory_outliers(spark.createDataFrame([], schema)).count() == 0 and gps_outliers(spark.createDataFrame([], GPS)).count() == 0
+
+
+def frozen(spark):
+    """One log frozen for 250 of 1000 readings, longer than a piece of a fifth; one that holds
+    coarse altitudes in one piece and fine ones elsewhere; one uncut."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for g, (name, n) in enumerate((("frozen", 1000), ("parked", 1000), ("short", 100))):
+        lat, lon, alt = 47 + rng.normal(0, 2e-5, n), 8 + rng.normal(0, 2e-5, n), 100 + rng.normal(0, 0.3, n)
+        if name == "frozen":
+            lat[380:630], lon[380:630], alt[380:630] = lat[380], lon[380], alt[380]
+        if name == "parked":
+            alt[400:600] = np.repeat(alt[400:600:8], 8)[:200]
+            alt[420:440:2] = alt[421:440:2]
+        if name == "short":
+            alt[50:60] = alt[50]
+        rows += [(name, 10_000 * g + k, 5.0 * k, float(lat[k]), float(lon[k]), float(alt[k]), 0.1, 9) for k in range(n)]
+    return spark.createDataFrame(rows * 2, GPS)
+
+
+def test_frozen_for_more_than_a_piece_whole_and_cut(spark, monkeypatch):
+    from plumbline.operators.trips import stops_and_trips
+
+    found = lambda: sorted((r["seq"], r["field"]) for r in gps_outliers(frozen(spark)).collect())
+    trips = lambda **hot: sorted((r["evidence_id"], r["kind"], r["first_seq"], r["last_seq"]) for r in stops_and_trips(frozen(spark), **hot).collect())
+    uncut = found()
+    assert {(k, f) for k in range(381, 630) for f in ("position", "altitude_m")} <= set(uncut) and (20_055, "altitude_m") in uncut
+    assert sum(10_400 <= k < 10_600 for k, _ in uncut) > 100
+    assert trips(hot_rows=500, pieces=10) == trips()
+    split = spikes.split_hot
+    monkeypatch.setattr(spikes, "split_hot", lambda d, k, o, m: split(d, k, o, m, hot_rows=500, pieces=10))
+    assert found() == uncut
