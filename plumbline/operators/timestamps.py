@@ -104,16 +104,28 @@ def with_folds(df: DataFrame, zone: str) -> DataFrame:
     return df.withColumn("second_us", second)
 
 
+#: Clocks of neighbouring frames go back by up to so much without a change of the clock.
+JITTER_US = 5_000_000
+
+
 def settle_folds(df: DataFrame, keys: list[str], order: str, **hot: int) -> DataFrame:
-    """``utc_us`` of records in sequence: an ambiguous clock reading is the second of the two
-    if the clock has shown a later one before it. Only ambiguous records are compared."""
+    """``utc_us`` of records in sequence: from where the clock has gone back within the hour
+    that occurs twice, its readings of that hour are the second of the two. Only ambiguous
+    records are compared."""
     twice = df.where("second_us is not null")
     twice = split_hot(twice, keys, order, **hot)
-    twice = carried(twice, keys, order, F.col("local_us"), "latest_us", F.max)
-    back = F.col("latest_us") - F.col("local_us") >= (F.col("second_us") - F.col("first_us")) / 2
+    shift = F.col("second_us") - F.col("first_us")
+    # records at one place in the sequence, in the order of their clock
+    line = [order, "local_us"]
+    twice = carried(twice, keys, line, F.col("local_us"), "previous_us")
+    fell = F.col("previous_us") - F.col("local_us")
+    twice = twice.withColumn("fell", (fell > JITTER_US) & (fell < shift))
+    # where it last went back; that of another hour is farther off than the shift
+    twice = carried(twice, keys, line, F.when(F.col("fell"), F.col("local_us")), "fell_us")
+    back = F.col("fell") | (F.abs(F.col("local_us") - F.col("fell_us")) < shift)
     twice = twice.withColumn("utc_us", F.when(back, F.col("second_us")).otherwise(F.col("first_us")))
     rest = df.where("second_us is null").withColumn("utc_us", F.coalesce("told_us", "first_us"))
-    return rest.unionByName(twice.drop("piece", "core", "latest_us"))
+    return rest.unionByName(twice.drop("piece", "core", "previous_us", "fell", "fell_us"))
 
 
 def _zones(sources: DataFrame) -> DataFrame:

@@ -39,6 +39,25 @@ def test_order_of_frames_settles_times_that_occur_twice(spark):
         assert {r["row_no"]: r["utc_us"] for r in frame_instants(df, sources(spark), **hot).collect()} == want
 
 
+def test_the_second_hour_lasts_to_its_end_and_starts_at_the_first_fall(spark):
+    # per video: (clock, is it the second of the two)
+    videos = {
+        "long": [("2024-10-27 02:59:59", 0), ("2024-10-27 02:00:00", 1), ("2024-10-27 02:29:59", 1), ("--", None), ("2024-10-27 02:30:00", 1), ("2024-10-27 02:45:00", 1), ("2024-10-27 02:59:59", 1), ("2024-10-27 03:00:00", 0)],
+        "gap": [("2024-10-27 02:19:50", 0), ("2024-10-27 02:20:00", 0), ("2024-10-27 02:05:00", 1), ("2024-10-27 02:40:00", 1)],
+        "jitter": [("2024-10-27 02:10:04", 0), ("2024-10-27 02:10:02", 0), ("2024-10-27 02:30:00", 0), ("2024-10-27 02:29:58", 0)],
+        "two years": [("2023-10-29 02:50:00", 0), ("2023-10-29 02:10:00", 1), ("2024-10-27 02:20:00", 0), ("2024-10-27 02:50:00", 0)],
+    }
+    rows, want = [], {}
+    for v, (video, clock) in enumerate(videos.items()):
+        for k, (text, fold) in enumerate(clock):
+            rows.append(("e", video, k, "R1", text, 100 * v + k))
+            if fold is not None:
+                want[100 * v + k] = us(*map(int, text.replace("-", " ").replace(":", " ").split()), zone="Europe/Berlin", fold=fold)
+    df = spark.createDataFrame(rows * 2, "evidence_id string, video_id string, frame_index int, recorder_id string, device_time string, seq long")
+    for hot in ({}, {"hot_rows": 2, "pieces": 3}):
+        assert {r["row_no"]: r["utc_us"] for r in frame_instants(df, sources(spark), **hot).collect()} == want
+
+
 def test_units(spark):
     rows = [(1, 7_071_769, 1_793_542_673_209_106), (2, 1_676_925_883, None), (3, 1_673_319_959_120, None), (4, 1_673_289_805_087_270, None), (5, 1_673_966_887_807_645_015, None), (6, -1, None), (7, None, 5), (8, 0, 7)]
     got = {r["row_no"]: r["utc_us"] for r in timeline_instants(spark.createDataFrame(rows, "seq long, timestamp_us long, boot_utc_us long")).collect()}
