@@ -77,10 +77,11 @@ def acks_without_command(commands: DataFrame, acks: DataFrame, window_us: int =
     return a.where("command_id is not null").join(used, "right_seq", "left_anti").select("evidence_id", F.col("right_seq").alias("ack_seq"), "command_id", "at_us")
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], value: Column, name: str, direction: str = "backward", **hot: int) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], value: Column, name: str, direction: str = "backward", counted: DataFrame | None = None, **hot: int) -> DataFrame:
     """Each left record with ``value`` of the last right record at or before it ('backward'),
     or of the first at or after it ('forward'). Both sides have ``at_us`` and ``seq``; of
-    right records at one instant the smaller ``seq`` is taken. Null keys match nothing."""
+    right records at one instant the smaller ``seq`` is taken. Null keys match nothing.
+    ``counted`` has at least the rows of both sides, as :func:`split_hot` wants it."""
     if direction not in ("backward", "forward"):
         raise ValueError("direction is 'backward' or 'forward'")
     sign = 1 if direction == "backward" else -1
@@ -91,7 +92,8 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], value: Column, nam
         whole &= F.col(k).isNotNull()
     l = left.withColumn("_side", F.lit(1))
     both = l.where(whole).unionByName(r, allowMissingColumns=True).withColumn("_at", sign * F.col("at_us"))
-    both = split_hot(both, keys, "_at", **hot).drop("core")
+    counted = left.select(*keys).unionByName(right.select(*keys)) if counted is None else counted
+    both = split_hot(both, keys, "_at", counted=counted, **hot).drop("cut")
     both = carried(both, keys, ["_at", "_side"], F.col("_value"), name).where("_side = 1").drop("_side", "_at", "_value", "piece")
     lost = l.where(~F.coalesce(whole, F.lit(False))).drop("_side")
     return both.unionByName(lost, allowMissingColumns=True)
@@ -101,7 +103,8 @@ def following_ack(commands: DataFrame, acks: DataFrame, window_us: int = ACK_WIN
     """Each command with the earliest acknowledgement of its id that follows within the
     window; commands without one stay."""
     c, a = sides(commands, acks)
-    found = as_of(c.withColumnRenamed("left_seq", "seq"), a.withColumnRenamed("right_seq", "seq"), ["evidence_id", "command_id"], F.struct("seq", "at_us", "result"), "ack", "forward")
+    keys = ["evidence_id", "command_id"]
+    found = as_of(c.withColumnRenamed("left_seq", "seq"), a.withColumnRenamed("right_seq", "seq"), keys, F.struct("seq", "at_us", "result"), "ack", "forward", commands.select(*keys).unionByName(acks.select(*keys)))
     ok = F.col("ack.at_us") - F.col("at_us") <= window_us
     return found.select(
         "evidence_id", F.col("seq").alias("command_seq"), "command_id", F.when(ok, F.col("ack.seq")).alias("ack_seq"), F.when(ok, F.col("ack.result")).alias("ack_result"),
@@ -116,7 +119,8 @@ def closest_ack(commands: DataFrame, acks: DataFrame) -> DataFrame:
     keys = ["evidence_id", "command_id"]
     value = F.struct("seq", "at_us")
     r = a.withColumnRenamed("right_seq", "seq")
-    x = as_of(as_of(c.withColumnRenamed("left_seq", "seq"), r, keys, value, "before"), r, keys, value, "after", "forward")
+    raw = commands.select(*keys).unionByName(acks.select(*keys))
+    x = as_of(as_of(c.withColumnRenamed("left_seq", "seq"), r, keys, value, "before", counted=raw), r, keys, value, "after", "forward", raw)
     x = x.join(a.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys, "left")
     back, on = F.col("at_us") - F.col("before.at_us"), F.col("after.at_us") - F.col("at_us")
     first = F.col("after").isNull() | (back < on) | ((back == on) & (F.col("before.seq") < F.col("after.seq")))

@@ -1,10 +1,14 @@
 """Ordered work on groups of any size.
 
 A group (a log, a field of a log) may hold a third of all rows. ``split_hot`` cuts such
-groups along their time order into pieces of similar row counts, with a margin of rows on
-either side for operators that look around; groups of usual size stay whole, as piece 0.
-``sorted_groups`` then gives whole pieces, in order, to a function on Arrow data, many
-small ones at a time. No task holds more than one piece besides one Arrow batch.
+groups along their order into pieces of about ``HOT_ROWS`` rows, however many these are;
+groups of usual size stay whole, as piece 0. ``sorted_groups`` then gives whole pieces, in
+order, to a function on Arrow data, many small ones at a time. No task holds more than one
+piece besides one Arrow batch.
+
+Which groups are cut is known from one count per table and keys (:func:`hot_groups`), which
+reads the key columns alone and is kept for the session: it decides about the plan only, not
+about results, so an old count does no harm.
 """
 
 from __future__ import annotations
@@ -16,58 +20,71 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-#: A group of more rows is cut, into up to PIECES pieces.
+#: A group of more rows is cut into pieces of about so many.
 HOT_ROWS = 200_000
-PIECES = 128
-#: Up to so many hot groups, their cuts (1 kB each) are broadcast; beyond, they are joined
-#: by a shuffle.
+#: Pieces that one level of cuts makes; larger groups are cut again within their pieces.
+FAN = 64
+#: Up to so many hot groups, their cuts (half a kB each) are broadcast; beyond, they are
+#: joined by a shuffle.
 BROADCAST_GROUPS = 10_000
 #: Mark of a ``piece`` column that is 0 throughout, as no group is hot: nothing can be
 #: inherited from other pieces then, and the plan needn't look for it.
 WHOLE = {"whole": True}
 
 
-def hot_cuts(df: DataFrame, keys: list[str], order: str, hot_rows: int = HOT_ROWS, pieces: int = PIECES) -> tuple[DataFrame | None, int]:
-    """Of each group with more than ``hot_rows`` rows, the values of ``order`` that cut it
-    into pieces of similar size; None if there is no such group. Counts and quantiles are
-    partial aggregates, so no group is collected anywhere."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    hot = counts.count()
-    if not hot:
-        return None, 0
-    few = hot <= BROADCAST_GROUPS
-    rows = df.select(*keys, order).join(F.broadcast(counts) if few else counts, keys, "left_semi")
-    at = [i / pieces for i in range(1, pieces)]
-    cuts = rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(order, at, 10_000)).alias("_cuts"))
-    return cuts, hot
-
-
-def split_hot(df: DataFrame, keys: list[str], order: str, margin: float = 0.0, hot_rows: int = HOT_ROWS, pieces: int = PIECES) -> DataFrame:
-    """Adds ``piece`` (int) and ``core`` (boolean), with a margin also ``cut`` (boolean).
-
-    Rows within ``margin`` of a piece in ``order`` are repeated in it with ``core`` false.
-    Rows at one instant stay together. Null keys or orders fall into piece 0."""
-    cuts, hot = hot_cuts(df, keys, order, hot_rows, pieces)
-    out = place_in(df, keys, order, cuts, hot, margin)
-    return out if margin else out.drop("cut")
-
-
-def place_in(df: DataFrame, keys: list[str], order: str, cuts: DataFrame | None, hot: int, margin: float = 0.0) -> DataFrame:
-    """``split_hot`` with the cuts at hand; also adds ``cut`` (boolean): the row's group is
-    cut into pieces. The metadata of ``piece`` say how many groups are."""
-    if cuts is None:
-        return df.withColumns({"piece": F.lit(0), "core": F.lit(True), "cut": F.lit(False)}).withMetadata("piece", WHOLE)
-
-    def place(t: Column) -> Column:
-        return F.coalesce(F.size(F.filter("_cuts", lambda c: c <= t)), F.lit(0))
-
-    out = df.join(F.broadcast(cuts) if hot <= BROADCAST_GROUPS else cuts, keys, "left")
-    t, whole = F.col(order), F.col("_cuts").isNull()
-    if not margin:
-        return out.withColumns({"piece": F.when(whole, 0).otherwise(place(t)), "core": F.lit(True), "cut": ~whole}).drop("_cuts")
-    own, low, high = (F.when(whole | t.isNull(), 0).otherwise(place(x)) for x in (t, t - margin, t + margin))
-    out = out.withColumns({"cut": ~whole, "_own": own}).withColumn("piece", F.explode(F.sequence(low, high))).withMetadata("piece", {"hot": hot})
-    return out.withColumn("core", F.col("piece") == F.col("_own")).drop("_cuts", "_own")
+def hot_groups(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> tuple[int, int]:
+    """How many groups have more than ``hot_rows`` rows, and the rows of the largest."""
+    spark = df.sparkSession
+    rows = df.select(*keys)
+    known = spark.__dict__.setdefault("_plumbline_hot", {})
+    at = (rows.semanticHash(), hot_rows)
+    if at not in known:
+        sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+        known[at] = tuple(sizes.agg(F.count(F.lit(1)), F.coalesce(F.max("_n"), F.lit(0))).head())
+    return known[at]
+
+
+def _cuts(rows: DataFrame, keys: list[str], order: str, hot_rows: int, fan: int, few: bool) -> DataFrame:
+    """Of each group above ``hot_rows`` the values of ``order`` that cut it into at most
+    ``fan`` pieces of similar size. Counts and quantiles are partial aggregates, and only
+    rows of such groups take part in the latter."""
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    sizes = F.broadcast(sizes) if few else sizes
+    at = [i / fan for i in range(1, fan)]
+    cuts = rows.join(sizes, keys).groupBy(*keys).agg(F.percentile_approx(order, at, 10_000).alias("_q"), F.first("_n").alias("_n"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(float(fan) * hot_rows) / F.col("_n"))).cast("int")
+    cuts = cuts.select(*keys, F.array_distinct(F.filter("_q", lambda c, i: (i + 1) % step == 0)).alias("_cuts"))
+    return F.broadcast(cuts) if few else cuts
+
+
+def split_hot(df: DataFrame, keys: list[str], order: str, hot_rows: int = HOT_ROWS, fan: int = FAN, counted: DataFrame | None = None) -> DataFrame:
+    """Adds ``piece`` (int) and ``cut`` (boolean): the row's group is cut into pieces.
+
+    Rows at one instant stay together. Null keys or orders fall into piece 0. ``counted`` is
+    a table with at least the rows of each group that is cheaper to count than ``df``."""
+    groups, largest = hot_groups(df if counted is None else counted, keys, hot_rows)
+    if not groups:
+        return df.withColumns({"piece": F.lit(0), "cut": F.lit(False)}).withMetadata("piece", WHOLE)
+    by = list(keys)
+    out = df.withColumn("piece", F.lit(0))
+    size, level = largest, 0
+    while size > hot_rows:
+        rows = out.where("cut") if level else out
+        cuts = _cuts(rows.select(*by, order), by, order, hot_rows, fan, not level and groups <= BROADCAST_GROUPS)
+        out = out.join(cuts, by, "left")
+        inner = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col(order))), F.lit(0))
+        place = F.when(F.col("_cuts").isNull() | F.col(order).isNull(), 0).otherwise(inner)
+        if not level:
+            out = out.withColumn("cut", F.col("_cuts").isNotNull())
+        out = out.withColumn("piece", (F.col("piece") * fan + place).cast("int")).drop("_cuts")
+        by = [*keys, "piece"]
+        size, level = -(-size // fan), level + 1
+    return out.withMetadata("piece", {"hot": groups})
+
+
+def is_whole(df: DataFrame) -> bool:
+    """Whether no group of the table is cut."""
+    return bool(df.schema["piece"].metadata.get("whole"))
 
 
 def _changes(t: pa.Table, keys: list[str]) -> np.ndarray:
@@ -84,7 +101,7 @@ def _changes(t: pa.Table, keys: list[str]) -> np.ndarray:
 
 def sorted_groups(
     df: DataFrame, keys: list[str], order: list[str],
-    fn: Callable[[pa.Table, np.ndarray], pa.Table], schema: str, salt: int = 0,
+    fn: Callable[[pa.Table, np.ndarray], pa.Table], schema: str,
 ) -> DataFrame:
     """Applies ``fn(table, group)`` to whole groups in order; ``group`` numbers the groups
     of the table 0, 1, 2, ... One shuffle on the keys and one sort within partitions."""
@@ -133,7 +150,7 @@ def carried(df: DataFrame, keys: list[str], order: str | list[str], value: Colum
     order = [order] if isinstance(order, str) else order
     far = Window.unboundedPreceding
     inside = Window.partitionBy(*keys, "piece").orderBy(*order)
-    if df.schema["piece"].metadata.get("whole"):
+    if is_whole(df):
         return df.withColumn("_v", value).withColumn(name, how(F.col("_v")).over(inside.rowsBetween(far, -1))).drop("_v")
     df = df.withColumn("_v", value).withColumn("_in", how(F.col("_v")).over(inside.rowsBetween(far, -1)))
     end = F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order))) if how is _last else how(F.col("_v"))
@@ -159,5 +176,5 @@ def sequenced(df: DataFrame, keys: list[str], order: str, seq: str = "seq", **ho
     """Records ready for ordered work: without null keys and orders, each stored once, cut
     into pieces, and partitioned so that windows on keys and piece need no shuffle."""
     rows = df.where(" and ".join(f"{k} is not null" for k in [*keys, order]))
-    cut = split_hot(rows, keys, order, **hot).drop("core")
+    cut = split_hot(rows, keys, order, **hot).drop("cut")
     return cut.repartition(*keys, "piece").dropDuplicates([*keys, "piece", seq])

@@ -108,12 +108,12 @@ def with_folds(df: DataFrame, zone: str) -> DataFrame:
 JITTER_US = 5_000_000
 
 
-def settle_folds(df: DataFrame, keys: list[str], order: str, **hot: int) -> DataFrame:
+def settle_folds(df: DataFrame, keys: list[str], order: str, counted: DataFrame | None = None, **hot: int) -> DataFrame:
     """``utc_us`` of records in sequence: from where the clock has gone back within the hour
     that occurs twice, its readings of that hour are the second of the two. Only ambiguous
     records are compared."""
     twice = df.where("second_us is not null")
-    twice = split_hot(twice, keys, order, **hot)
+    twice = split_hot(twice, keys, order, counted=counted, **hot)
     shift = F.col("second_us") - F.col("first_us")
     # records at one place in the sequence, in the order of their clock
     line = [order, "local_us"]
@@ -125,7 +125,7 @@ def settle_folds(df: DataFrame, keys: list[str], order: str, **hot: int) -> Data
     back = F.col("fell") | (F.abs(F.col("local_us") - F.col("fell_us")) < shift)
     twice = twice.withColumn("utc_us", F.when(back, F.col("second_us")).otherwise(F.col("first_us")))
     rest = df.where("second_us is null").withColumn("utc_us", F.coalesce("told_us", "first_us"))
-    return rest.unionByName(twice.drop("piece", "core", "previous_us", "fell", "fell_us"))
+    return rest.unionByName(twice.drop("piece", "cut", "previous_us", "fell", "fell_us"))
 
 
 def _zones(sources: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def frame_instants(frames: DataFrame, sources: DataFrame, **hot: int) -> DataFra
     """``(row_no, utc_us)`` of the recorder's clock texts."""
     rows = frames.select("evidence_id", "video_id", "frame_index", "recorder_id", "device_time", F.col("seq").alias("row_no")).where("row_no is not null")
     parsed = texts_to_utc(rows, "device_time", "recorder_id", sources)
-    return settle_folds(parsed, ["evidence_id", "video_id"], "frame_index", **hot).select("row_no", "utc_us").where("utc_us is not null")
+    return settle_folds(parsed, ["evidence_id", "video_id"], "frame_index", frames, **hot).select("row_no", "utc_us").where("utc_us is not null")
 
 
 def custody_instants(custody: DataFrame, sources: DataFrame) -> DataFrame:

@@ -6,9 +6,12 @@ are taken in order of time. An anchor window is extended while all its positions
 next anchor follows it. What lies between the stops of a stretch without silence is trips.
 
 No window reaches over a silence or over a step longer than the radius, so these cut a log
-into islands whose stops don't depend on each other. A log that is cut into pieces gets its
-closed islands solved in the pieces; islands that touch the rim of a piece are handed on as
-pings and solved whole. Those are streamed through their task, which holds one open window.
+into islands whose stops don't depend on each other. Within an island, what came before stops
+to matter where the windows have been shorter than ``least`` for as long as one of them
+reaches (:func:`settled`). So a piece of a cut log is solved from there on by itself, and hands
+on its pings up to there and the window that is open at its end. These rims of neighbouring
+pieces are solved together. An aircraft that stays in place for whole pieces gives no such
+point; its pings pass through one task, in blocks that cost no more than their corners.
 
 Defined results: pings without time or position are unusable; records with the same ``seq``
 count once; pings at one instant are taken in order of ``seq``; a log without usable pings
@@ -23,9 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from plumbline.operators.pieces import floats, hot_cuts, place_in, sorted_groups
+from plumbline.operators.pieces import floats, is_whole, sorted_groups
 from plumbline.operators.written import written
-from plumbline.operators.spikes import MARGIN_S, METRES_PER_DEGREE, POSITION, fresh, judge_positions, normals, with_normals
+from plumbline.operators.spikes import METRES_PER_DEGREE, POSITION, fresh, in_pieces, judge_positions, normals
 
 RADIUS_M, LEAST_S, SILENCE_S = 15.0, 60.0, 180.0
 PARTS = (
@@ -34,44 +37,159 @@ PARTS = (
 )
 #: Kinds of rows that a piece hands on: a stretch (or part of one at a rim), a stop, an open ping.
 STRETCH, STOP, OPEN = "stretch", "stop", "open"
+#: Of open pings: they start their piece, they end it, or both.
+STARTS, ENDS, WHOLE = 1, 2, 3
 
 
-def stay_points(x: np.ndarray, y: np.ndarray, t: np.ndarray, radius: float, least: float) -> list[tuple[int, int]]:
-    """First and last index of each stop in one island, by growing windows.
+#: Pings that are compared with a window at once.
+BLOCK = 64
+
+
+class Windows:
+    """The anchor window as it grows over pings that arrive in blocks.
 
     If ping ``j`` is too far from ping ``c`` of the window, no window from an anchor up to
     ``c`` reaches ``j``; all of them end before it and the longest of these is the current
-    one. So the anchor moves behind the last such ``c`` and each ping is looked at once."""
-    stops: list[tuple[int, int]] = []
-    r2, n, a = radius * radius, len(t), 0
-    lx = hx = ly = hy = None
-    xs, ys, ts = x.tolist(), y.tolist(), t.tolist()
-    j = 0
-    while j < n:
-        px, py = xs[j], ys[j]
-        if j == a:
-            lx = hx = px
-            ly = hy = py
-            j += 1
-            continue
-        bx0, bx1, by0, by1 = min(lx, px), max(hx, px), min(ly, py), max(hy, py)
-        if (bx1 - bx0) ** 2 + (by1 - by0) ** 2 > r2:
-            far = np.flatnonzero((x[a:j] - px) ** 2 + (y[a:j] - py) ** 2 > r2)
-            if len(far):
-                if ts[j - 1] - ts[a] >= least:
-                    stops.append((a, j - 1))
-                    a = j
-                    continue
-                a += int(far[-1]) + 1
-                if a == j:
-                    continue
-                lx, hx, ly, hy = float(x[a:j].min()), float(x[a:j].max()), float(y[a:j].min()), float(y[a:j].max())
-                bx0, bx1, by0, by1 = min(lx, px), max(hx, px), min(ly, py), max(hy, py)
-        lx, hx, ly, hy = bx0, bx1, by0, by1
-        j += 1
-    if n and ts[-1] - ts[a] >= least:
-        stops.append((a, n - 1))
-    return stops
+    one. So the anchor moves behind the last such ``c`` and each ping is looked at once.
+    A window that lasts ``least`` seconds is a stop, and only its corners matter: the ping of
+    a set that is farthest from any other is a corner of its convex hull.
+
+    Places are ``(x, y)``; ``width`` and ``height`` are the metres of their units, the former
+    for each ping. With ``least`` infinite the windows are those without stops."""
+
+    def __init__(self, radius: float, least: float, height: float = 1.0) -> None:
+        self.r2, self.least, self.height = radius * radius, least, height
+        self.clear()
+
+    def clear(self) -> None:
+        self.anchor = self.end = 0  # the window are pings anchor .. end - 1 since clear()
+        self.t = np.zeros(0)  # times, from number ``base`` on
+        self.xy = np.zeros((0, 2))
+        self.base = 0
+        self.corners: np.ndarray | None = None
+        self.outline: np.ndarray | None = None  # corners of a window whose pings are held
+        self.first = self.last = 0.0
+        self.stopped = False
+
+    def lasts(self) -> bool:
+        return self.end > self.anchor and self.last - self.first >= self.least
+
+    def add(self, x: np.ndarray, y: np.ndarray, t: np.ndarray, width: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Takes up to BLOCK pings; gives ``(ping, anchor before, anchor from it on)`` at each
+        ping that ends a window; ``stopped`` tells whether that window was a stop."""
+        n, start = len(t), self.end
+        if start == self.anchor:
+            self.first = float(t[0])
+        own = self.xy if self.corners is None else self.corners
+        new = np.c_[x, y]
+        wide = len(own) > 4 * BLOCK
+        if wide and self.outline is None:
+            self.outline = own[hull(own)]
+        far = self._far(new, width, self.outline if wide else own)
+        if wide and far.any():  # which of them is the last needs all of the window
+            some = np.flatnonzero(far.any(1))
+            all_far = np.zeros((n, len(own)), bool)
+            all_far[some] = self._far(new[some], width[some], own)
+            far = all_far
+        inner = self._far(new, width, new) & (np.arange(n)[None, :] < np.arange(n)[:, None])
+        # the last ping that each is too far from, by number; -1 for none
+        latest = np.full(n, -1)
+        hit = far.any(1)
+        if hit.any():
+            latest[hit] = self.anchor if self.corners is not None else self.base + far.shape[1] - 1 - np.argmax(far[hit][:, ::-1], 1)
+        near = inner.any(1)
+        if near.any():
+            latest[near] = start + n - 1 - np.argmax(inner[near][:, ::-1], 1)
+        times = np.r_[self.t, t]
+        before, moved = float(self.last), False
+        for i in np.flatnonzero(latest >= self.anchor).tolist():
+            if latest[i] < self.anchor:
+                continue
+            j, was = start + i, self.anchor
+            before = float(t[i - 1]) if i else float(self.last)
+            self.stopped = before - self.first >= self.least
+            self.anchor = j if self.stopped else int(latest[i]) + 1
+            self.first = float(times[self.anchor - self.base]) if self.anchor >= self.base else self.first
+            moved = True
+            yield j, was, self.anchor
+        self.end, self.last = start + n, float(t[-1])
+        if moved:
+            self.outline = None
+        elif self.outline is not None:
+            points = np.r_[self.outline, new]
+            self.outline = points[hull(points)]
+        if moved or self.corners is None:
+            keep = self.anchor - self.base
+            self.t, self.xy, self.base, self.corners = times[keep:], np.r_[self.xy, new][keep:], self.anchor, None
+        else:
+            self.corners = np.r_[self.corners, new]
+            self.base, self.t, self.xy = self.end, self.t[:0], self.xy[:0]
+        if self.lasts():
+            points = self.xy if self.corners is None else self.corners
+            self.corners = points[hull(points)]
+            self.base, self.t, self.xy = self.end, self.t[:0], self.xy[:0]
+
+    def _far(self, new: np.ndarray, width: np.ndarray, own: np.ndarray) -> np.ndarray:
+        dx = (own[None, :, 0] - new[:, None, 0]) * width[:, None]
+        dy = (own[None, :, 1] - new[:, None, 1]) * self.height
+        return dx * dx + dy * dy > self.r2
+
+
+def hull(points: np.ndarray) -> np.ndarray:
+    """Numbers of the corners of the convex hull, by monotone chains."""
+    order = np.lexsort((points[:, 1], points[:, 0]))
+    if len(order) < 3:
+        return order
+    xs, ys = points[:, 0].tolist(), points[:, 1].tolist()
+
+    def chain(numbers: list[int]) -> list[int]:
+        out: list[int] = []
+        for p in numbers:
+            while len(out) > 1 and (xs[out[-1]] - xs[out[-2]]) * (ys[p] - ys[out[-2]]) <= (ys[out[-1]] - ys[out[-2]]) * (xs[p] - xs[out[-2]]):
+                out.pop()
+            out.append(p)
+        return out
+
+    numbers = order.tolist()
+    return np.array(chain(numbers)[:-1] + chain(numbers[::-1])[:-1])
+
+
+def stay_points(x: np.ndarray, y: np.ndarray, t: np.ndarray, radius: float, least: float, width: np.ndarray | None = None, height: float = 1.0, close: bool = True) -> tuple[list[tuple[int, int]], int]:
+    """First and last index of each stop in one island, and the anchor of the window at its
+    end; ``close`` tells that the island ends there, so that this window may be a stop."""
+    width = np.ones(len(t)) if width is None else width
+    w, stops = Windows(radius, least, height), []
+    for k in range(0, len(t), BLOCK):
+        part = slice(k, k + BLOCK)
+        for j, was, _ in w.add(x[part], y[part], t[part], width[part]):
+            if w.stopped:
+                stops.append((was, j - 1))
+    if close and w.lasts():
+        stops.append((w.anchor, w.end - 1))
+    return stops, w.anchor
+
+
+def settled(x: np.ndarray, y: np.ndarray, t: np.ndarray, radius: float, least: float, width: np.ndarray, height: float) -> tuple[int, int] | None:
+    """``(ping, anchor)`` of the first ping at which the anchor is known, whatever came before
+    the first; None if there is none.
+
+    Windows without stops are the longest that any anchor can have. Once they begin after the
+    first ping they are known, and if from some ping on none of them lasts ``least``, no stop
+    ends there; when one of them begins there too, it is the window whatever came before."""
+    w, since, anchor, done = Windows(radius, float("inf"), height), -1, 0, 0
+    for k in range(0, len(t), BLOCK):
+        part = slice(k, k + BLOCK)
+        for j, _, now in w.add(x[part], y[part], t[part], width[part]):
+            if since >= 0:
+                # the windows up to here have the anchor before
+                lasting = np.flatnonzero(t[done:j] - t[anchor] >= least)
+                since = done + int(lasting[-1]) + 1 if len(lasting) else since
+            else:
+                since = j
+            anchor, done = now, j
+            if anchor >= since:
+                return j, anchor
+    return None
 
 
 def steps_m(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
@@ -81,9 +199,10 @@ def steps_m(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     return np.r_[0.0, np.hypot(east * METRES_PER_DEGREE * np.cos(mid), np.diff(lat) * METRES_PER_DEGREE)]
 
 
-def _plane(lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    east = (lon - lon[0] + 180.0) % 360.0 - 180.0
-    return east * METRES_PER_DEGREE * np.cos(np.radians(lat[0])), (lat - lat[0]) * METRES_PER_DEGREE
+def _degrees(lat: np.ndarray, lon: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Longitude without a jump at 180 degrees, latitude, and metres of a degree of longitude."""
+    x = lon[0] + (lon - lon[0] + 180.0) % 360.0 - 180.0 if lon.max() - lon.min() > 180.0 else lon
+    return x, lat, METRES_PER_DEGREE * np.cos(np.radians(lat))
 
 
 def _rows(evidence: list, piece: list, kind: list, a: np.ndarray, b: np.ndarray, seq: np.ndarray, t: np.ndarray, lat: np.ndarray, lon: np.ndarray, m: np.ndarray, rim: list) -> pa.Table:
@@ -126,15 +245,30 @@ def _piece_parts(radius: float, least: float, silence: float):
             kinds.append(kind), a.append(i), b.append(j), rims.append(at)
 
         for i, j, open_ in zip(first.tolist(), last.tolist(), rim.tolist(), strict=True):
-            if open_:
-                # 1: starts its piece, 2: ends it, 3: both
-                at = int(start[i]) + 2 * int(ends[j])
-                for k in range(i, j + 1):
-                    add(OPEN, k, k, at)
-            elif t[j] - t[i] >= least:
-                x, y = _plane(lat[i : j + 1], lon[i : j + 1])
-                for p, q in stay_points(x, y, t[i : j + 1], radius, least):
-                    add(STOP, i + p, i + q)
+            if not open_ and t[j] - t[i] < least:
+                continue
+            x, y, width = _degrees(lat[i : j + 1], lon[i : j + 1])
+            u, known = t[i : j + 1], 0
+            if open_ and start[i]:
+                at = settled(x, y, u, radius, least, width, METRES_PER_DEGREE)
+                for k in range(i, j + 1 if at is None else i + at[0]):
+                    add(OPEN, k, k, WHOLE if at is None and ends[j] else STARTS)
+                if at is None:
+                    continue
+                known = at[1]
+            goes_on = bool(open_ and ends[j])
+            stops, anchor = stay_points(x[known:], y[known:], u[known:], radius, least, width[known:], METRES_PER_DEGREE, not goes_on)
+            for p, q in stops:
+                add(STOP, i + known + p, i + known + q)
+            if goes_on:
+                a0 = i + known + anchor
+                window = np.arange(a0, j + 1)
+                if t[j] - t[a0] >= least and len(window) > 3:
+                    # a stop already: its ends and corners are all that matters
+                    inside = window[hull(np.c_[x[a0 - i :], y[a0 - i :]])]
+                    window = np.unique(np.r_[a0, inside, j])
+                for k in window.tolist():
+                    add(OPEN, k, k, ENDS)
         s = np.flatnonzero(broken)
         for i, j in zip(s.tolist(), (np.r_[s[1:], n] - 1).tolist(), strict=True):
             add(STRETCH, i, j)
@@ -144,103 +278,82 @@ def _piece_parts(radius: float, least: float, silence: float):
     return parts
 
 
-class OpenWindow:
-    """The growing window of ``stay_points`` over pings that arrive one by one.
-
-    Until the window lasts ``least`` seconds it holds its pings; from then on it is a stop
-    and only its corners matter: the farthest point of a set from any ping is a corner of
-    its convex hull. So an aircraft parked for years takes no more memory than for a minute."""
-
-    def __init__(self, radius: float, least: float) -> None:
-        self.r2, self.least, self.pings = radius * radius, least, []
-        self.first = self.last = None
-
-    def close(self) -> tuple | None:
-        stop = (self.first, self.last) if self.first and self.last[0] - self.first[0] >= self.least else None
-        self.pings, self.first, self.last = [], None, None
-        return stop
-
-    def add(self, ping: tuple) -> tuple | None:
-        """``ping`` is (seconds, x, y, ...). Gives the stop that this ping ends, if any."""
-        stop = None
-        far = [k for k, p in enumerate(self.pings) if (p[1] - ping[1]) ** 2 + (p[2] - ping[2]) ** 2 > self.r2]
-        if far:
-            if self.last[0] - self.first[0] >= self.least:
-                stop = self.close()
-            else:
-                del self.pings[: far[-1] + 1]
-        self.pings.append(ping)
-        if far or self.first is None:
-            self.first = self.pings[0]
-        self.last = ping
-        if len(self.pings) > 64 and ping[0] - self.first[0] >= self.least:
-            self.pings = corners(self.pings)
-        return stop
-
-
-def corners(pings: list[tuple]) -> list[tuple]:
-    """Convex hull of (seconds, x, y, ...), by monotone chains."""
-    pts = sorted(pings, key=lambda p: (p[1], p[2]))
-
-    def chain(seq: list[tuple]) -> list[tuple]:
-        out: list[tuple] = []
-        for p in seq:
-            while len(out) > 1 and (out[-1][1] - out[-2][1]) * (p[2] - out[-2][2]) <= (out[-1][2] - out[-2][2]) * (p[1] - out[-2][1]):
-                out.pop()
-            out.append(p)
-        return out
-
-    return chain(pts)[:-1] + chain(pts[::-1])[:-1] if len(pts) > 2 else pts
-
-
 ISLAND_STOPS = "evidence_id string, piece int, last_piece int, first_seq bigint, last_seq bigint, first_s double, last_s double, first_m double, last_m double"
 
 
 def _solve_open(radius: float, least: float):
-    """Stops of islands that span pieces; a partition's pings pass in order."""
+    """Stops of the rims of pieces that go together; a partition's pings pass in order, and
+    of the open window their numbers' first and last are held, not the pings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        window, island, origin = OpenWindow(radius, least), None, (0.0, 0.0, 1.0)
+        w, island, lon0 = Windows(radius, least, METRES_PER_DEGREE), None, 0.0
+        held: dict[int, tuple] = {}  # pings of the open window that may begin the next one
         found: list[tuple] = []
-        take = lambda stop: found.append((island[0], *stop)) if stop else None
+
+        def close() -> None:
+            if w.lasts():
+                found.append((island[0], held[w.anchor], held[w.end - 1]))
+            w.clear()
+            held.clear()
+
         for batch in batches:
-            for e, k, t, lat, lon, piece, seq, m in zip(*(batch.column(c).to_pylist() for c in ("evidence_id", "island", "first_s", "first_lat", "first_lon", "piece", "first_seq", "first_m")), strict=True):
-                if (e, k) != island:
-                    take(window.close())
-                    island, origin = (e, k), (lat, lon, METRES_PER_DEGREE * float(np.cos(np.radians(lat))))
-                x, y = ((lon - origin[1] + 180.0) % 360.0 - 180.0) * origin[2], (lat - origin[0]) * METRES_PER_DEGREE
-                take(window.add((t, x, y, piece, seq, m)))
-            if len(found) > 1000:
-                yield _island_stops(found)
-                found.clear()
-        take(window.close())
+            t = pa.Table.from_batches([batch])
+            if not len(t):
+                continue
+            names, number = t.column("evidence_id").to_pylist(), t.column("island").to_numpy()
+            at, lat, lon, m = (floats(t, c) for c in ("first_s", "first_lat", "first_lon", "first_m"))
+            piece, seq = t.column("piece").to_numpy(), t.column("first_seq").to_numpy()
+            new = np.r_[True, (number[1:] != number[:-1]) | np.array([a != b for a, b in zip(names[1:], names[:-1], strict=True)], bool)]
+            edges = np.r_[np.flatnonzero(new), len(t)]
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if (names[a], int(number[a])) != island:
+                    if island is not None:
+                        close()
+                    island, lon0 = (names[a], int(number[a])), float(lon[a])
+                x = lon0 + (lon[a:b] - lon0 + 180.0) % 360.0 - 180.0 if np.abs(lon[a:b] - lon0).max() > 180.0 else lon[a:b]
+                width = METRES_PER_DEGREE * np.cos(np.radians(lat[a:b]))
+                for k in range(0, b - a, BLOCK):
+                    part = slice(k, min(k + BLOCK, b - a))
+                    for n in range(part.start, part.stop):
+                        held[w.end + n - k] = (float(at[a + n]), int(seq[a + n]), float(m[a + n]), int(piece[a + n]))
+                    for j, was, _ in w.add(x[part], lat[a:b][part], at[a:b][part], width[part]):
+                        if w.stopped:
+                            found.append((island[0], held[was], held[j - 1]))
+                    if w.corners is not None:
+                        held = {n: held[n] for n in (w.anchor, w.end - 1)}
+                    elif len(held) > w.end - w.anchor + 1024:
+                        held = {n: v for n, v in held.items() if n >= w.anchor}
+                if len(found) > 1000:
+                    yield _island_stops(found)
+                    found.clear()
+        if island is not None:
+            close()
         yield _island_stops(found)
 
     return run
 
 
 def _island_stops(found: list[tuple]) -> pa.RecordBatch:
-    f, b = [r[1] for r in found], [r[2] for r in found]
-    ints, reals = pa.int32(), pa.float64()
+    names, f, b = [r[0] for r in found], [r[1] for r in found], [r[2] for r in found]
+    kinds = {"s": pa.float64(), "seq": pa.int64(), "m": pa.float64(), "piece": pa.int32()}
+    at = {c: (pa.array([r[k] for r in f], kind), pa.array([r[k] for r in b], kind)) for k, (c, kind) in enumerate(kinds.items())}
     return pa.record_batch({
-        "evidence_id": pa.array([r[0] for r in found], pa.string()),
-        "piece": pa.array([r[3] for r in f], ints), "last_piece": pa.array([r[3] for r in b], ints),
-        "first_seq": pa.array([r[4] for r in f], pa.int64()), "last_seq": pa.array([r[4] for r in b], pa.int64()),
-        "first_s": pa.array([r[0] for r in f], reals), "last_s": pa.array([r[0] for r in b], reals),
-        "first_m": pa.array([r[5] for r in f], reals), "last_m": pa.array([r[5] for r in b], reals),
+        "evidence_id": pa.array(names, pa.string()), "piece": at["piece"][0], "last_piece": at["piece"][1], "first_seq": at["seq"][0], "last_seq": at["seq"][1],
+        "first_s": at["s"][0], "last_s": at["s"][1], "first_m": at["m"][0], "last_m": at["m"][1],
     })
 
 
 def _open_islands(open_pings: DataFrame, radius: float, silence: float) -> DataFrame:
-    """Numbers the islands that span pieces. The rims of neighbouring pieces belong to one
-    island if they are close in time and place; that takes one row per rim, not per ping."""
+    """Numbers the rims that go together: the end of a piece with the start of the next, if
+    they are close in time and place. That takes one row per rim, not per ping."""
     rims = open_pings.groupBy("evidence_id", "piece", "rim").agg(
         F.min(F.struct("first_s", "first_seq", "first_lat", "first_lon")).alias("a"), F.max(F.struct("first_s", "first_seq", "first_lat", "first_lon")).alias("b")
     )
     along = Window.partitionBy("evidence_id").orderBy("a")
     before = F.lag("b").over(along)
-    rims = rims.withColumn("joined", (F.col("a.first_s") - before["first_s"] <= silence) & (metres(before["first_lat"], before["first_lon"], F.col("a.first_lat"), F.col("a.first_lon")) <= radius))
-    rims = rims.withColumn("island", F.sum(F.when(F.col("joined"), 0).otherwise(1)).over(along))
+    follows = (F.col("rim") != ENDS) & (F.lag("rim").over(along) != STARTS)
+    rims = rims.withColumn("joined", follows & (F.col("a.first_s") - before["first_s"] <= silence) & (metres(before["first_lat"], before["first_lon"], F.col("a.first_lat"), F.col("a.first_lon")) <= radius))
+    rims = rims.withColumn("island", F.sum(F.when(F.col("joined"), 0).otherwise(1)).over(along).cast("bigint"))
     return open_pings.join(rims.select("evidence_id", "piece", "rim", "island"), ["evidence_id", "piece", "rim"])
 
 
@@ -254,10 +367,9 @@ def stops_and_trips(gps: DataFrame, radius: float = RADIUS_M, least: float = LEA
     """``(evidence_id, kind, first_seq, last_seq, start_s, end_s, duration_s, distance_m)``,
     kind 'stop' or 'trip'; ``distance_m`` is the length of the path over the usable pings."""
     rows = gps.select("evidence_id", "seq", "timestamp", "latitude", "longitude", "speed_m_s").where("timestamp is not null and seq is not null")
-    cuts, number = hot_cuts(rows, ["evidence_id"], "timestamp", **hot)
-    whole = cuts is None  # then no island can span pieces
-    cut = with_normals(place_in(rows, ["evidence_id"], "timestamp", cuts, number, MARGIN_S), {"position": POSITION})
+    cut = in_pieces(rows, {"position": POSITION}, **hot)
     parts = sorted_groups(cut, ["evidence_id", "piece"], ["timestamp", "seq"], _piece_parts(radius, least, silence), PARTS)
+    whole = is_whole(cut)  # then nothing spans pieces
     if not whole:
         parts = written(parts)
     events = parts.where(F.col("kind") != OPEN).withColumn("last_piece", F.col("piece"))
@@ -279,12 +391,17 @@ def stops_and_trips(gps: DataFrame, radius: float = RADIUS_M, least: float = LEA
     ).otherwise(0.0)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     events = events.withColumn("no", F.sum(begins.cast("int")).over(upto)).withColumn("offset", F.sum(link).over(upto))
-    # path length from the log's start, over the borders of its pieces: one entry per piece
-    enters = (F.col("kind") == STRETCH) & (F.col("prev").isNull() | (F.col("prev.piece") != F.col("piece")))
-    offsets = F.map_from_entries(F.collect_list(F.when(enters, F.struct("piece", "offset"))).over(log))
-    events = events.withColumn("offsets", offsets)
-    first = F.struct(F.col("first_s").alias("s"), F.col("first_seq").alias("seq"), (F.col("first_m") + F.col("offsets")[F.col("piece")]).alias("m"))
-    last = F.struct(F.col("last_s").alias("s"), F.col("last_seq").alias("seq"), (F.col("last_m") + F.col("offsets")[F.col("last_piece")]).alias("m"))
+    if whole:
+        events = events.withColumns({"_a": F.lit(0.0), "_b": F.lit(0.0)})
+    else:
+        # path length from the log's start, over the borders of its pieces: one row per piece
+        enters = (F.col("kind") == STRETCH) & (F.col("prev").isNull() | (F.col("prev.piece") != F.col("piece")))
+        offsets = events.where(enters).select(F.col("evidence_id").alias("_e"), F.col("piece").alias("_p"), F.col("offset").alias("_o"))
+        for name, at in (("_a", "piece"), ("_b", "last_piece")):
+            to = offsets.withColumnRenamed("_o", name)
+            events = events.join(to, (F.col("evidence_id") == F.col("_e")) & (F.col(at) == F.col("_p")), "left").drop("_e", "_p")
+    first = F.struct(F.col("first_s").alias("s"), F.col("first_seq").alias("seq"), (F.col("first_m") + F.col("_a")).alias("m"))
+    last = F.struct(F.col("last_s").alias("s"), F.col("last_seq").alias("seq"), (F.col("last_m") + F.col("_b")).alias("m"))
     events = events.select("evidence_id", "no", "kind", "first_s", "first_seq", first.alias("a"), last.alias("b"))
 
     one = Window.partitionBy("evidence_id", "no")

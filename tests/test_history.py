@@ -26,7 +26,7 @@ def test_chain_at_one_instant(spark):
 
 def test_cut_groups_give_the_same(spark):
     rows = [("a" if k % 3 else "b", "nav_state", k, float((k * 7919) % 500), None, str((k * 31) % 4) if k % 5 else None) for k in range(500)]
-    assert versions(spark, rows) == versions(spark, rows, hot_rows=20, pieces=7)
+    assert versions(spark, rows) == versions(spark, rows, hot_rows=20, fan=7)
 
 
 def test_empty(spark):

@@ -41,13 +41,11 @@ def gps_rows():
     return [*rows, rows[40], ("c", 9001, None, 0.0, 0.0, 1.0, 1.0, 9), (None, 9002, 1.0, 0.0, 0.0, 0.0, 1.0, 9)]
 
 
-def test_gps_whole_and_cut(spark, monkeypatch):
+def test_gps_whole_and_cut(spark):
     df = spark.createDataFrame(gps_rows(), GPS)
     want = {(20, "position"), (40, "position"), (60, "position"), (20, "altitude_m"), (60, "altitude_m"), (9002, "position")}
     assert {(r["seq"], r["field"]) for r in gps_outliers(df).collect()} == want
-    whole = spikes.split_hot
-    monkeypatch.setattr(spikes, "split_hot", lambda d, k, o, m: whole(d, k, o, m, hot_rows=50, pieces=3))
-    got = [(r["seq"], r["field"]) for r in gps_outliers(df).collect()]
+    got = [(r["seq"], r["field"]) for r in gps_outliers(df, hot_rows=50, fan=3).collect()]
     assert set(got) == want and len(got) == len(want)
 
 
@@ -77,15 +75,29 @@ def frozen(spark):
     return spark.createDataFrame(rows * 2, GPS)
 
 
-def test_frozen_for_more_than_a_piece_whole_and_cut(spark, monkeypatch):
+def test_frozen_for_more_than_a_piece_whole_and_cut(spark):
     from plumbline.operators.trips import stops_and_trips
 
-    found = lambda: sorted((r["seq"], r["field"]) for r in gps_outliers(frozen(spark)).collect())
+    found = lambda **hot: sorted((r["seq"], r["field"]) for r in gps_outliers(frozen(spark), **hot).collect())
     trips = lambda **hot: sorted((r["evidence_id"], r["kind"], r["first_seq"], r["last_seq"]) for r in stops_and_trips(frozen(spark), **hot).collect())
     uncut = found()
     assert {(k, f) for k in range(381, 630) for f in ("position", "altitude_m")} <= set(uncut) and (20_055, "altitude_m") in uncut
     assert sum(10_400 <= k < 10_600 for k, _ in uncut) > 100
-    assert trips(hot_rows=500, pieces=10) == trips()
-    split = spikes.split_hot
-    monkeypatch.setattr(spikes, "split_hot", lambda d, k, o, m: split(d, k, o, m, hot_rows=500, pieces=10))
-    assert found() == uncut
+    for hot in ({"hot_rows": 200, "fan": 10}, {"hot_rows": 60, "fan": 5}):
+        assert trips(**hot) == trips()
+        assert found(**hot) == uncut
+
+
+def test_noise_that_changes_whole_and_cut(spark):
+    """Quiet for three quarters, noisy for one, with spikes in both, far and near."""
+    rng = np.random.default_rng(8)
+    n = 6000
+    v = 100 + rng.normal(0, np.where(np.arange(n) < 4500, 0.2, 2.5))
+    at = rng.choice(n, 120, replace=False)
+    v[at] += rng.choice([-1, 1], 120) * rng.uniform(6, 60, 120)
+    v[3000:3009], v[3700:3703] = v[3000], -9999.0
+    rows = [("a", k, 2.0 * k, 47.0 + 1e-6 * (k % 7), 8.0, float(v[k]), 0.1, 9) for k in range(n)]
+    df = spark.createDataFrame(rows, GPS)
+    found = lambda **hot: sorted((r["seq"], r["field"]) for r in gps_outliers(df, **hot).collect())
+    whole = found()
+    assert len(whole) > 100 and found(hot_rows=700, fan=64) == whole and found(hot_rows=150, fan=4) == whole
