@@ -55,7 +55,7 @@ def flag_intervals(df: DataFrame, keys: list[str], order: list[str], flag: str,
 
     ``start`` is the first true; ``last_true`` the last one if there were two or more, else
     null; ``end`` is the time of the false that closed it, else the last true; ``open`` tells
-    that nothing closed it."""
+    that nothing closed it; ``first_seq`` is the record that opened it."""
     rows = df.where(F.col(flag).isNotNull())
     rows = with_previous(rows, keys, order, {"flag": F.col(flag)})
     begins = F.col(flag) & (F.col("prev").isNull() | ~F.col("prev.flag"))
@@ -64,11 +64,11 @@ def flag_intervals(df: DataFrame, keys: list[str], order: list[str], flag: str,
     rows = rows.where(F.col(flag) | F.col("prev.flag"))
     true_time = F.when(F.col(flag), F.col(time))
     out = rows.groupBy(*keys, "interval").agg(
-        F.min(true_time).alias("start"), F.max(true_time).alias("_last"), F.count_if(flag).alias("samples"), F.min(F.when(~F.col(flag), F.col(time))).alias("_closed")
+        F.min_by("seq", F.when(F.col(flag), F.struct(*order))).alias("first_seq"), F.min(true_time).alias("start"), F.max(true_time).alias("_last"), F.count_if(flag).alias("samples"), F.min(F.when(~F.col(flag), F.col(time))).alias("_closed")
     )
     return out.select(
         *keys, "interval", "start", F.when(F.col("samples") > 1, F.col("_last")).alias("last_true"), F.coalesce("_closed", "_last").alias("end"),
-        F.col("_closed").isNull().alias("open"), "samples",
+        F.col("_closed").isNull().alias("open"), "samples", "first_seq",
     )
 
 

@@ -47,13 +47,28 @@ def mismatches(lone: DataFrame, acks: DataFrame, window_us: int = ACK_WINDOW_US)
     """Commands that have no acknowledgement of their id, each with every one of another id
     within the window; both as :func:`sides` gives them."""
     other = acks.withColumnsRenamed({"command_id": "ack_id"}).where("ack_id is not null")
-    return band_pairs(lone, other, ["evidence_id"], -window_us, window_us).where(F.col("command_id").isNull() | (F.col("ack_id") != F.col("command_id")))
+    return band_pairs(lone, other, ["evidence_id"], -window_us, window_us).where(F.col("ack_id") != F.col("command_id"))
+
+
+def mismatched_pairs(commands: DataFrame, acks: DataFrame, window_us: int = ACK_WINDOW_US) -> DataFrame:
+    """:func:`mismatches` of whole tables."""
+    c, a = sides(commands, acks)
+    matched = band_pairs(c, a, ["evidence_id", "command_id"], -window_us, window_us).select("left_seq").distinct()
+    return mismatches(c.where("command_id is not null").join(matched, "left_seq", "left_anti"), a, window_us)
+
+
+def repeated(commands: DataFrame) -> DataFrame:
+    """Ids that a log commands more than once, with the first and last time; ``commands`` as
+    :func:`sides` gives them."""
+    per = commands.where("command_id is not null").groupBy("evidence_id", "command_id")
+    return per.agg(F.count(F.lit(1)).alias("commands"), F.min("at_us").alias("first_us"), F.max("at_us").alias("last_us"), F.min("left_seq").alias("least_seq")).where("commands > 1")
 
 
 def commands_without_ack(commands: DataFrame, acks: DataFrame, window_us: int = ACK_WINDOW_US) -> DataFrame:
     """Commands with no acknowledgement of their id in the window, with the nearest one of
-    another id there and how many of those there are. A command without id has none of its id."""
+    another id there and how many of those there are. A command without id asks for none."""
     c, a = sides(commands, acks)
+    c = c.where("command_id is not null")
     matched = band_pairs(c, a, ["evidence_id", "command_id"], -window_us, window_us).select("left_seq").distinct()
     lone = c.join(matched, "left_seq", "left_anti")
     near = mismatches(lone, a, window_us)
@@ -61,7 +76,7 @@ def commands_without_ack(commands: DataFrame, acks: DataFrame, window_us: int =
     best = near.groupBy("left_seq").agg(F.min_by(F.struct("right_seq", "ack_id", "right_us"), F.struct(gap, F.col("right_seq"))).alias("b"), F.count(F.lit(1)).alias("candidates"))
     out = lone.join(best, "left_seq", "left")
     return out.select(
-        "evidence_id", F.col("left_seq").alias("command_seq"), "command_id", F.col("b.right_seq").alias("nearest_ack_seq"), F.col("b.ack_id").alias("nearest_ack_id"),
+        "evidence_id", F.col("left_seq").alias("command_seq"), "command_id", F.col("at_us").alias("command_us"), F.col("b.right_seq").alias("nearest_ack_seq"), F.col("b.ack_id").alias("nearest_ack_id"),
         (F.col("b.right_us") - F.col("at_us")).alias("delta_us"), F.coalesce("candidates", F.lit(0)).alias("candidates"),
     )
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.functions.numbers import quantised
 from plumbline.operators import changes, indicators, matching, statistics
+from plumbline.operators.pieces import sequenced
+from plumbline.plans import flight
 from plumbline.plans.flight import ACKS, COMMANDS, GPS, STATES, TRAJECTORY, floored
 from plumbline.plans.registry import Registry
 from plumbline.sources import sidecars
@@ -31,8 +33,8 @@ def command_ack_pairs(spark: SparkSession, d: str) -> DataFrame:
     return p.select("evidence_id", F.col("left_seq").alias("command_seq"), F.col("right_seq").alias("ack_seq"), (F.col("right_us") - F.col("left_us")).alias("delta_us"))
 
 
-_LONE = f"""{_EXACT}, lone AS (SELECT * FROM c WHERE seq NOT IN (SELECT command_seq FROM e)),
-n AS (SELECT l.seq, a.seq AS ack_seq, a.command_id AS ack_id, a.at_us - l.at_us AS delta_us FROM lone l JOIN a ON a.evidence_id = l.evidence_id AND a.command_id IS NOT NULL AND a.command_id IS DISTINCT FROM l.command_id AND a.at_us BETWEEN l.at_us - {WINDOW} AND l.at_us + {WINDOW}),
+_LONE = f"""{_EXACT}, lone AS (SELECT * FROM c WHERE command_id IS NOT NULL AND seq NOT IN (SELECT command_seq FROM e)),
+n AS (SELECT l.seq, a.seq AS ack_seq, a.command_id AS ack_id, a.at_us - l.at_us AS delta_us FROM lone l JOIN a ON a.evidence_id = l.evidence_id AND a.command_id <> l.command_id AND a.at_us BETWEEN l.at_us - {WINDOW} AND l.at_us + {WINDOW}),
 b AS (SELECT seq, arg_min(n, (abs(delta_us), ack_seq)) AS n, count(*) AS candidates FROM n GROUP BY seq)"""
 
 
@@ -41,10 +43,29 @@ WITH {COMMANDS}, {ACKS}, {_LONE}
 SELECT l.evidence_id, l.seq AS command_seq, l.command_id, b.n.ack_seq AS nearest_ack_seq, b.n.ack_id AS nearest_ack_id, b.n.delta_us AS delta_us, coalesce(b.candidates, 0) AS candidates FROM lone l LEFT JOIN b ON b.seq = l.seq""")
 def command_without_ack(spark: SparkSession, d: str) -> DataFrame:
     """Commands with no acknowledgement of their id, and the nearest of another id."""
-    return matching.commands_without_ack(*_commands(spark, d), WINDOW)
+    return matching.commands_without_ack(*_commands(spark, d), WINDOW).drop("command_us")
 
 
-@REGISTRY.add("ack_without_command", f"WITH {COMMANDS}, {ACKS}, {_EXACT} SELECT evidence_id, seq AS ack_seq, command_id, at_us FROM a WHERE command_id IS NOT NULL AND seq NOT IN (SELECT ack_seq FROM e)")
+@REGISTRY.add("command_ack_mismatches", f"""
+WITH {COMMANDS}, {ACKS}, {_LONE} SELECT l.evidence_id, n.seq AS command_seq, l.command_id, n.ack_seq, n.ack_id, n.delta_us FROM n JOIN lone l ON l.seq = n.seq""")
+def command_ack_mismatches(spark: SparkSession, d: str) -> DataFrame:
+    """All acknowledgements of another id near each command without one of its own."""
+    p = matching.mismatched_pairs(*_commands(spark, d), WINDOW)
+    return p.select("evidence_id", F.col("left_seq").alias("command_seq"), "command_id", F.col("right_seq").alias("ack_seq"), "ack_id", (F.col("right_us") - F.col("left_us")).alias("delta_us"))
+
+
+@REGISTRY.add("acks_of_no_command_id", f"""
+WITH {COMMANDS}, {ACKS} SELECT evidence_id, seq AS ack_seq, command_id, at_us FROM a WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.evidence_id = a.evidence_id AND c.command_id = a.command_id)""")
+def acks_of_no_command_id(spark: SparkSession, d: str) -> DataFrame:
+    """Acknowledgements that are no command's candidate, however far: their id has no command
+    in the log, or is missing."""
+    c, a = matching.sides(*_commands(spark, d))
+    return a.join(c.select("evidence_id", "command_id").distinct(), ["evidence_id", "command_id"], "left_anti").select("evidence_id", F.col("right_seq").alias("ack_seq"), "command_id", "at_us")
+
+
+@REGISTRY.add("ack_without_command", f"""
+WITH {COMMANDS}, {ACKS}, {_LONE}
+SELECT evidence_id, seq AS ack_seq, command_id, at_us FROM a WHERE command_id IS NOT NULL AND seq NOT IN (SELECT ack_seq FROM e) AND seq NOT IN (SELECT ack_seq FROM n)""")
 def ack_without_command(spark: SparkSession, d: str) -> DataFrame:
     return matching.acks_without_command(*_commands(spark, d), WINDOW)
 
@@ -87,9 +108,7 @@ def command_ids_never_acknowledged(spark: SparkSession, d: str) -> DataFrame:
 @REGISTRY.add("repeated_commands", f"""
 WITH {COMMANDS} SELECT evidence_id, command_id, count(*) AS commands, min(at_us) AS first_us, max(at_us) AS last_us, min(seq) AS least_seq FROM c WHERE command_id IS NOT NULL GROUP BY evidence_id, command_id HAVING count(*) > 1""")
 def repeated_commands(spark: SparkSession, d: str) -> DataFrame:
-    c, _ = matching.sides(*_commands(spark, d))
-    out = c.where("command_id is not null").groupBy("evidence_id", "command_id").agg(F.count(F.lit(1)).alias("commands"), F.min("at_us").alias("first_us"), F.max("at_us").alias("last_us"), F.min("left_seq").alias("least_seq"))
-    return out.where("commands > 1")
+    return matching.repeated(matching.sides(*_commands(spark, d))[0])
 
 
 @REGISTRY.add("command_histogram", f"""
@@ -121,27 +140,48 @@ def timeline_events(spark: SparkSession, d: str) -> DataFrame:
 
 
 SPANS = {"tight": 100_000, "short": 500_000, "medium": 1_000_000, "wide": 5_000_000}
-_KINDS = {
-    "gcs": "event_type = 'GCS_CONNECTION_STATE_CHANGE'", "descend": "event_type = 'DESCEND_STATE_CHANGE'", "failsafe": "event_type = 'FAILSAFE_STATE_CHANGE'", "nav": "event_type = 'NAVIGATION_STATE_CHANGE'",
-    "command": "event_type = 'VEHICLE_COMMAND'", "ack": "event_type = 'COMMAND_ACK'", "preflight": "event_type = 'PREFLIGHT_CHECK_STATE_CHANGE'",
-}
-_RELATION = """CASE WHEN gcs > 0 AND descend > 0 THEN 'GCS_AND_DESCEND' WHEN gcs > 0 AND (failsafe > 0 OR nav > 0) THEN 'GCS_AND_FLIGHT_STATE' WHEN command > 0 AND ack > 0 THEN 'COMMAND_AND_ACK'
-  WHEN preflight > 0 THEN 'PREFLIGHT' ELSE 'GENERAL' END"""
+_NEAR = f"""{_TIMELINE}, w(span, width) AS (VALUES {", ".join(f"('{w}', {n})" for w, n in SPANS.items())}),
+x AS (SELECT t.evidence_id, t.seq, t.event_type, o.seq AS near_seq, o.event_type AS near_type, o.at_us, o.at_us - t.at_us AS delta_us
+  FROM e t JOIN e o ON o.evidence_id = t.evidence_id AND o.at_us BETWEEN t.at_us - 5000000 AND t.at_us + 5000000 AND (o.seq <> t.seq OR o.event_type <> t.event_type)
+  WHERE t.event_type IN ('GCS_CONNECTION_STATE_CHANGE', 'GPS_STATE_CHANGE', 'GPS_INTEGRITY_EVENT', 'PREFLIGHT_CHECK_STATE_CHANGE', 'FAILSAFE_STATE_CHANGE', 'NAVIGATION_STATE_CHANGE', 'ARMING_STATE_CHANGE',
+    'LAND_DETECTION_STATE_CHANGE', 'DESCEND_STATE_CHANGE', 'VEHICLE_COMMAND', 'COMMAND_ACK', 'POWER_INPUT_STATE_CHANGE', 'SAFETY_STATE_CHANGE'))"""
+_CORRELATED = f"""{_NEAR}, k AS (SELECT x.evidence_id, x.seq, x.event_type, w.span, count(*) AS nearby, list(DISTINCT x.near_type) AS kinds FROM x JOIN w ON abs(x.delta_us) <= w.width GROUP BY x.evidence_id, x.seq, x.event_type, w.span),
+r AS (SELECT evidence_id, seq, event_type, span, nearby, CASE
+  WHEN event_type = 'GCS_CONNECTION_STATE_CHANGE' AND list_contains(kinds, 'DESCEND_STATE_CHANGE') THEN 'GCS_AND_DESCEND_TEMPORAL_PROXIMITY'
+  WHEN event_type = 'GCS_CONNECTION_STATE_CHANGE' AND (list_contains(kinds, 'FAILSAFE_STATE_CHANGE') OR list_contains(kinds, 'NAVIGATION_STATE_CHANGE')) THEN 'GCS_AND_FLIGHT_STATE_TEMPORAL_PROXIMITY'
+  WHEN event_type = 'VEHICLE_COMMAND' AND list_contains(kinds, 'COMMAND_ACK') THEN 'COMMAND_ACK_TEMPORAL_PROXIMITY'
+  WHEN event_type = 'PREFLIGHT_CHECK_STATE_CHANGE' AND (list_contains(kinds, 'GPS_STATE_CHANGE') OR list_contains(kinds, 'GPS_INTEGRITY_EVENT')) THEN 'PREFLIGHT_AND_GPS_TEMPORAL_PROXIMITY'
+  ELSE 'GENERAL_TEMPORAL_PROXIMITY' END AS relationship FROM k)"""
+
+
+@REGISTRY.add("event_correlation", f"WITH {_CORRELATED} SELECT * FROM r")
+def event_correlation(spark: SparkSession, d: str) -> DataFrame:
+    """For each target event and each of four windows how many other events of its log lie
+    near, and the relationship that the target and their kinds suggest."""
+    return indicators.correlations(_timeline(spark, d), SPANS)
 
 
-@REGISTRY.add("event_correlation", f"WITH {_TIMELINE}, " + ", ".join(
-    f"""{w} AS (SELECT evidence_id, seq, event_type, at_us, '{w}' AS span, count(*) OVER q - 1 AS nearby, {", ".join(f"count(CASE WHEN {t} THEN 1 END) OVER q AS {k}" for k, t in _KINDS.items())}
-  FROM e WINDOW q AS (PARTITION BY evidence_id ORDER BY at_us RANGE BETWEEN {n} PRECEDING AND {n} FOLLOWING))""" for w, n in SPANS.items())
-    + " SELECT evidence_id, seq, event_type, span, nearby, relationship FROM (" + " UNION ALL ".join(f"SELECT *, {_RELATION} AS relationship FROM {w}" for w in SPANS) + ") WHERE nearby > 0")
-def event_correlation(spark: SparkSession, d: str) -> DataFrame:
-    """For each event and each of four windows how many other events of its log lie near, and
-    the relationship that the kinds of events there suggest."""
-    rows = changes.burst_counts(_timeline(spark, d), ["evidence_id"], "at_us", SPANS, {k: F.expr(t) for k, t in _KINDS.items()})
-    spans = [
-        F.struct(F.lit(w).alias("span"), F.col(f"{w}_nearby").alias("nearby"), indicators.relationship({k: F.col(f"{w}_{k}") > 0 for k in _KINDS}).alias("relationship"))
-        for w in SPANS
-    ]
-    return rows.select("evidence_id", "seq", "event_type", F.explode(F.array(*spans)).alias("r")).select("evidence_id", "seq", "event_type", "r.*").where("nearby > 0")
+@REGISTRY.add("event_neighbours", f"""
+WITH {_NEAR} SELECT evidence_id, seq, event_type, CAST(row_number() OVER (PARTITION BY evidence_id, event_type, seq ORDER BY abs(delta_us), at_us, near_type, near_seq) AS INTEGER) AS place, near_seq, near_type, delta_us,
+  CASE WHEN abs(delta_us) <= 100000 THEN 'tight' WHEN abs(delta_us) <= 500000 THEN 'short' WHEN abs(delta_us) <= 1000000 THEN 'medium' ELSE 'wide' END AS span FROM x""")
+def event_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The events near each target, by distance in time."""
+    return indicators.neighbours(_timeline(spark, d), SPANS)
+
+
+@REGISTRY.add("event_relationships", f"""
+WITH {_CORRELATED} SELECT span, relationship, count(*) AS correlations, count(DISTINCT evidence_id) AS logs FROM r GROUP BY span, relationship""")
+def event_relationships(spark: SparkSession, d: str) -> DataFrame:
+    """How often each relationship occurs in each window."""
+    r = event_correlation(spark, d)
+    return r.groupBy("span", "relationship").agg(F.count(F.lit(1)).alias("correlations"), F.count_distinct("evidence_id").alias("logs"))
+
+
+@REGISTRY.add("timeline_summary", f"""
+WITH {_TIMELINE} SELECT evidence_id, event_type, count(*) AS events, min(at_us) AS first_us, max(at_us) AS last_us FROM e GROUP BY evidence_id, event_type""")
+def timeline_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Events of each kind in each log and the time from the first to the last."""
+    return _timeline(spark, d).groupBy("evidence_id", "event_type").agg(F.count(F.lit(1)).alias("events"), F.min("at_us").alias("first_us"), F.max("at_us").alias("last_us"))
 
 
 @REGISTRY.add("event_counts", """
@@ -162,59 +202,99 @@ def event_details(spark: SparkSession, d: str) -> DataFrame:
 
 # --- indicators and findings ---------------------------------------------------------------
 
-_CHANGE = """{name} AS (SELECT evidence_id, '{category}' AS category, '{kind}' AS indicator_type, '{severity}' AS severity, seq FROM (
-  SELECT evidence_id, seq, {column} AS v, lag({column}) OVER (PARTITION BY evidence_id ORDER BY seq) AS p FROM g WHERE {column} IS NOT NULL) WHERE p <> v)"""
-_INDICATORS = f"""{GPS}, {COMMANDS}, {ACKS}, {_EXACT},
-x1 AS (SELECT evidence_id, 'navigation' AS category, 'GPS_SPOOFING_STATE' AS indicator_type, 'HIGH' AS severity, seq FROM g WHERE spoofing_state <> 0),
-x2 AS (SELECT evidence_id, 'navigation', 'GPS_JAMMING_STATE', 'HIGH', seq FROM g WHERE jamming_state <> 0),
-{_CHANGE.format(name="x3", category="navigation", kind="GPS_FIX_TYPE_CHANGE", severity="MEDIUM", column="fix_type")},
-{_CHANGE.format(name="x4", category="navigation", kind="GPS_SATELLITE_COUNT_CHANGE", severity="LOW", column="satellites")},
-x5 AS (SELECT evidence_id, 'command_and_control', 'COMMAND_WITHOUT_EXACT_ACK', 'LOW', seq FROM c WHERE seq NOT IN (SELECT command_seq FROM e)),
-x6 AS (SELECT evidence_id, 'command_and_control', 'ACK_WITHOUT_COMMAND', 'LOW', seq FROM a WHERE command_id IS NOT NULL AND seq NOT IN (SELECT ack_seq FROM e)),
-i AS (SELECT * FROM x1 UNION ALL SELECT * FROM x2 UNION ALL SELECT * FROM x3 UNION ALL SELECT * FROM x4 UNION ALL SELECT * FROM x5 UNION ALL SELECT * FROM x6)"""
+_GPS_CHANGE = """SELECT evidence_id, '{kind}', 'gps', seq, us, NULL, seq FROM (
+  SELECT evidence_id, seq, us, {column} AS v, lag({column}) OVER (PARTITION BY evidence_id ORDER BY seq) AS p FROM gt WHERE {column} IS NOT NULL) WHERE p <> v"""
+_TABLES = ("gps", "trajectory", "state_reconstruction", "commands", "command_acks", "telemetry_frames", "chain_of_custody", "forensic_timeline")
+_INDICATORS = f"""{GPS}, {TRAJECTORY}, {STATES}, {COMMANDS}, {ACKS}, {_LONE},
+gt AS (SELECT *, CAST(round("timestamp" * 1e6) AS BIGINT) AS us FROM g),
+gj AS (SELECT evidence_id, seq, us, "timestamp" AS ts, latitude, longitude, lag(latitude) OVER l AS plat, lag(longitude) OVER l AS plon, lag("timestamp") OVER l AS pts FROM gt WINDOW l AS (PARTITION BY evidence_id ORDER BY seq)),
+gh AS (SELECT evidence_id, seq, us, {flight.HAVERSINE_PART} AS h FROM gj WHERE ts > pts),
+tv AS (SELECT evidence_id, seq, CAST(round("timestamp" * 1e6) AS BIGINT) AS us, position_valid AS v, lag(position_valid) OVER (PARTITION BY evidence_id ORDER BY "timestamp", seq) AS p FROM t WHERE position_valid IS NOT NULL),
+sv AS (SELECT evidence_id, field, seq, timestamp_us AS us, CASE WHEN field = 'arming_state' THEN try_cast(new_value AS DOUBLE) = 2 WHEN lower(trim(new_value)) IN ('true', '1', '1.0') THEN true WHEN lower(trim(new_value)) IN ('false', '0', '0.0') THEN false END AS v
+  FROM s WHERE timestamp_us IS NOT NULL AND field IN ('failsafe', 'gcs_connection_lost', 'arming_state', 'landed')),
+sl AS (SELECT *, lag(v) OVER (PARTITION BY evidence_id, field ORDER BY us, seq) AS p FROM sv WHERE v IS NOT NULL),
+si AS (SELECT *, sum(CASE WHEN NOT v THEN 1 ELSE 0 END) OVER (PARTITION BY evidence_id ORDER BY us, seq ROWS UNBOUNDED PRECEDING) AS run FROM sl WHERE field = 'gcs_connection_lost'),
+logs AS ({" UNION ".join(f"SELECT evidence_id FROM {t} WHERE evidence_id IS NOT NULL" for t in _TABLES)}),
+i0(evidence_id, indicator_type, source, seq, at_us, end_us, place) AS (
+  SELECT evidence_id, 'GPS_SPOOFING_STATE', 'gps', seq, us, CAST(NULL AS BIGINT), seq FROM gt WHERE spoofing_state <> 0
+  UNION ALL SELECT evidence_id, 'GPS_JAMMING_STATE', 'gps', seq, us, NULL, seq FROM gt WHERE jamming_state <> 0
+  UNION ALL {_GPS_CHANGE.format(kind="GPS_FIX_TYPE_CHANGE", column="fix_type")}
+  UNION ALL {_GPS_CHANGE.format(kind="GPS_SATELLITE_COUNT_CHANGE", column="satellites")}
+  UNION ALL SELECT evidence_id, 'GPS_POSITION_DISCONTINUITY', 'gps', seq, us, NULL, seq FROM gh WHERE {flight.HAVERSINE} >= 100.0
+  UNION ALL SELECT evidence_id, 'NAVIGATION_POSITION_VALIDITY_CHANGE', 'trajectory', seq, us, NULL, us FROM tv WHERE p <> v AND evidence_id IN (SELECT evidence_id FROM g)
+  UNION ALL SELECT evidence_id, 'COMMAND_WITHOUT_EXACT_ACK', 'commands', seq, at_us, NULL, seq FROM lone
+  UNION ALL SELECT evidence_id, 'ACK_WITHOUT_COMMAND', 'command_acks', seq, at_us, NULL, seq FROM a WHERE command_id IS NOT NULL AND seq NOT IN (SELECT ack_seq FROM e) AND seq NOT IN (SELECT ack_seq FROM n)
+  UNION ALL SELECT evidence_id, 'REPEATED_COMMAND_ID', 'commands', min(seq), min(at_us), max(at_us), min(seq) FROM c WHERE command_id IS NOT NULL GROUP BY evidence_id, command_id HAVING count(*) > 1
+  UNION ALL SELECT evidence_id, 'GCS_CONNECTION_LOST', 'state_reconstruction', arg_min(seq, (us, seq)), min(us), CASE WHEN count(*) > 1 THEN max(us) END, min(us) FROM si WHERE v GROUP BY evidence_id, run
+  UNION ALL SELECT evidence_id, CASE field WHEN 'failsafe' THEN 'FAILSAFE_STATE_CHANGE' WHEN 'gcs_connection_lost' THEN 'GCS_CONNECTION_STATE_CHANGE' WHEN 'arming_state' THEN 'ARMED_STATE_CHANGE' ELSE 'LANDED_STATE_CHANGE' END, 'state_reconstruction', seq, us, NULL, us FROM sl WHERE p <> v
+  UNION ALL SELECT evidence_id, 'NO_GPS_RECORDS', NULL, NULL, NULL, NULL, NULL FROM logs WHERE evidence_id NOT IN (SELECT evidence_id FROM g)
+  UNION ALL SELECT evidence_id, 'NO_STATE_RECORDS', NULL, NULL, NULL, NULL, NULL FROM logs WHERE evidence_id NOT IN (SELECT evidence_id FROM state_reconstruction WHERE evidence_id IS NOT NULL)
+  UNION ALL SELECT evidence_id, 'NO_COMMAND_RECORDS', NULL, NULL, NULL, NULL, NULL FROM logs WHERE evidence_id NOT IN (SELECT evidence_id FROM commands WHERE evidence_id IS NOT NULL)),
+kinds(indicator_type, rank, category, severity, confidence) AS (VALUES ('GPS_SPOOFING_STATE', 1, 'navigation', 'HIGH', 'HIGH'), ('GPS_JAMMING_STATE', 2, 'navigation', 'HIGH', 'HIGH'), ('GPS_FIX_TYPE_CHANGE', 3, 'navigation', 'MEDIUM', 'MEDIUM'),
+  ('GPS_SATELLITE_COUNT_CHANGE', 4, 'navigation', 'LOW', 'MEDIUM'), ('GPS_POSITION_DISCONTINUITY', 5, 'navigation', 'MEDIUM', 'MEDIUM'), ('NAVIGATION_POSITION_VALIDITY_CHANGE', 6, 'navigation', 'MEDIUM', 'MEDIUM'),
+  ('COMMAND_WITHOUT_EXACT_ACK', 7, 'command_and_control', 'LOW', 'MEDIUM'), ('ACK_WITHOUT_COMMAND', 8, 'command_and_control', 'LOW', 'MEDIUM'), ('REPEATED_COMMAND_ID', 9, 'command_and_control', 'LOW', 'HIGH'),
+  ('GCS_CONNECTION_LOST', 10, 'flight_control', 'MEDIUM', 'HIGH'), ('FAILSAFE_STATE_CHANGE', 11, 'flight_control', 'MEDIUM', 'MEDIUM'), ('GCS_CONNECTION_STATE_CHANGE', 12, 'flight_control', 'MEDIUM', 'MEDIUM'),
+  ('ARMED_STATE_CHANGE', 13, 'flight_control', 'LOW', 'MEDIUM'), ('LANDED_STATE_CHANGE', 14, 'flight_control', 'LOW', 'MEDIUM'),
+  ('NO_GPS_RECORDS', 15, 'evidence_quality', 'INFO', 'HIGH'), ('NO_STATE_RECORDS', 16, 'evidence_quality', 'INFO', 'HIGH'), ('NO_COMMAND_RECORDS', 17, 'evidence_quality', 'INFO', 'HIGH')),
+i AS (SELECT * FROM i0 JOIN kinds USING (indicator_type))"""
 
 
 def _indicators(spark: SparkSession, d: str) -> DataFrame:
-    from plumbline.plans import flight
-
-    c = table(spark, d, "commands"), table(spark, d, "command_acks")
-    named = indicators.named
-    return (
-        flight.gps_state_asserted(spark, d).select("evidence_id", F.lit("navigation").alias("category"), F.col("indicator").alias("indicator_type"), F.lit("HIGH").alias("severity"), "seq")
-        .unionByName(named(flight.gps_fix_change(spark, d), "GPS_FIX_TYPE_CHANGE", "seq"))
-        .unionByName(named(flight.gps_satellite_change(spark, d), "GPS_SATELLITE_COUNT_CHANGE", "seq"))
-        .unionByName(named(matching.commands_without_ack(*c, WINDOW), "COMMAND_WITHOUT_EXACT_ACK", "command_seq"))
-        .unionByName(named(matching.acks_without_command(*c, WINDOW), "ACK_WITHOUT_COMMAND", "ack_seq"))
+    of = {t: table(spark, d, t) for t in _TABLES}
+    gps = sequenced(of["gps"].select("evidence_id", "seq", "timestamp", "latitude", "longitude", "fix_type", "satellites", "jamming_state", "spoofing_state"), ["evidence_id"], "seq")
+    valid = sequenced(of["trajectory"].select("evidence_id", "seq", "timestamp", "position_valid"), ["evidence_id"], "timestamp")
+    text = F.lower(F.trim("new_value"))
+    flag = F.when(F.col("field") == "arming_state", F.expr("try_cast(new_value as double)") == 2).when(text.isin("true", "1", "1.0"), True).when(text.isin("false", "0", "0.0"), False)
+    states = of["state_reconstruction"].where(F.col("field").isin(*indicators.STATE_KINDS)).select("evidence_id", "field", "seq", "timestamp_us", flag.alias("flag"))
+    commands = matching.sides(of["commands"], of["command_acks"])[0]
+    logs = None
+    for t in of.values():
+        rows = t.select("evidence_id").where("evidence_id is not null")
+        logs = rows if logs is None else logs.unionByName(rows)
+    parts = (
+        indicators.receiver_indicators(gps),
+        indicators.validity_indicators(valid, of["gps"].select("evidence_id").distinct()),
+        indicators.command_indicators(matching.commands_without_ack(of["commands"], of["command_acks"], WINDOW), matching.acks_without_command(of["commands"], of["command_acks"], WINDOW), matching.repeated(commands)),
+        indicators.state_indicators(sequenced(states, ["evidence_id", "field"], "timestamp_us")),
+        indicators.quality_indicators(logs.distinct(), {"NO_GPS_RECORDS": of["gps"], "NO_STATE_RECORDS": of["state_reconstruction"], "NO_COMMAND_RECORDS": of["commands"]}),
     )
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
-@REGISTRY.add("indicator_catalogue", f"WITH {_INDICATORS} SELECT evidence_id, category, indicator_type, severity, seq FROM i")
+@REGISTRY.add("indicator_catalogue", f"WITH {_INDICATORS} SELECT evidence_id, category, indicator_type, severity, confidence, source, seq, at_us, end_us FROM i")
 def indicator_catalogue(spark: SparkSession, d: str) -> DataFrame:
-    """All indicators in one form."""
-    return _indicators(spark, d)
+    """All indicators that the tables allow, in one form."""
+    return indicators.described(_indicators(spark, d)).select("evidence_id", "category", "indicator_type", "severity", "confidence", "source", "seq", "at_us", "end_us")
 
 
 @REGISTRY.add("indicator_counts", f"WITH {_INDICATORS} SELECT category, indicator_type, severity, count(*) AS indicators, count(DISTINCT evidence_id) AS logs FROM i GROUP BY category, indicator_type, severity")
 def indicator_counts(spark: SparkSession, d: str) -> DataFrame:
-    return _indicators(spark, d).groupBy("category", "indicator_type", "severity").agg(F.count(F.lit(1)).alias("indicators"), F.count_distinct("evidence_id").alias("logs"))
+    return indicators.described(_indicators(spark, d)).groupBy("category", "indicator_type", "severity").agg(F.count(F.lit(1)).alias("indicators"), F.count_distinct("evidence_id").alias("logs"))
 
 
 @REGISTRY.add("findings", f"""
-WITH {_INDICATORS}, n AS (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY CASE category WHEN 'navigation' THEN 0 ELSE 1 END, array_position(['GPS_SPOOFING_STATE', 'GPS_JAMMING_STATE', 'GPS_FIX_TYPE_CHANGE', 'GPS_SATELLITE_COUNT_CHANGE', 'COMMAND_WITHOUT_EXACT_ACK', 'ACK_WITHOUT_COMMAND'], indicator_type), seq) AS k FROM i)
-SELECT evidence_id, 'FINDING-' || lpad(CAST(k AS VARCHAR), CAST(greatest(4, length(CAST(k AS VARCHAR))) AS INTEGER), '0') AS finding_id, category, severity, upper(indicator_type[1]) || lower(replace(indicator_type[2:], '_', ' ')) AS title, seq FROM n""")
+WITH {_INDICATORS}, m AS (SELECT *, row_number() OVER (PARTITION BY evidence_id ORDER BY rank, place, seq) AS k FROM i)
+SELECT evidence_id, 'FINDING-' || lpad(CAST(k AS VARCHAR), CAST(greatest(4, length(CAST(k AS VARCHAR))) AS INTEGER), '0') AS finding_id, category, severity, confidence, CASE indicator_type
+  WHEN 'GPS_SPOOFING_STATE' THEN 'GPS spoofing state was reported' WHEN 'GPS_JAMMING_STATE' THEN 'GPS jamming state was reported' WHEN 'GPS_FIX_TYPE_CHANGE' THEN 'GPS fix type changed'
+  WHEN 'GPS_SATELLITE_COUNT_CHANGE' THEN 'GPS satellite count changed' WHEN 'GPS_POSITION_DISCONTINUITY' THEN 'GPS position discontinuity detected' WHEN 'NAVIGATION_POSITION_VALIDITY_CHANGE' THEN 'Navigation position validity changed'
+  WHEN 'COMMAND_WITHOUT_EXACT_ACK' THEN 'Command did not receive a matching acknowledgement' WHEN 'ACK_WITHOUT_COMMAND' THEN 'Command acknowledgement has no matching command' WHEN 'REPEATED_COMMAND_ID' THEN 'Command ID was repeated'
+  WHEN 'NO_GPS_RECORDS' THEN 'No GPS records were available' WHEN 'NO_STATE_RECORDS' THEN 'No flight-state records were available' WHEN 'NO_COMMAND_RECORDS' THEN 'No command records were available'
+  ELSE upper(indicator_type[1]) || lower(replace(indicator_type[2:], '_', ' ')) END AS title,
+  CASE WHEN rank IN (1, 2, 5, 6) THEN 'navigation' WHEN rank IN (7, 8, 9) THEN 'command_and_control' WHEN starts_with(indicator_type, 'FAILSAFE_') THEN 'failsafe' END AS caveat, at_us, end_us, source || ':' || CAST(seq AS VARCHAR) AS evidence_ref FROM m""")
 def findings(spark: SparkSession, d: str) -> DataFrame:
     """Findings with the ids that their order in the catalogue gives them, per log."""
-    return indicators.findings(_indicators(spark, d))
+    return indicators.findings(_indicators(spark, d), table(spark, d, "gps"))
 
 
-@REGISTRY.add("indicator_agreement", f"""
-WITH {_INDICATORS}, j AS (SELECT DISTINCT evidence_id FROM i WHERE indicator_type = 'GPS_JAMMING_STATE'), k AS (SELECT DISTINCT evidence_id FROM i WHERE indicator_type = 'GPS_SPOOFING_STATE'),
+@REGISTRY.add("indicator_agreement", """
+WITH j AS (SELECT DISTINCT evidence_id FROM gps WHERE jamming_state <> 0 AND evidence_id IS NOT NULL), k AS (SELECT DISTINCT evidence_id FROM gps WHERE spoofing_state <> 0 AND evidence_id IS NOT NULL),
 n AS (SELECT count(CASE WHEN j.evidence_id IS NOT NULL AND k.evidence_id IS NOT NULL THEN 1 END) AS tp, count(CASE WHEN j.evidence_id IS NULL THEN 1 END) AS fp, count(CASE WHEN k.evidence_id IS NULL THEN 1 END) AS fn FROM j FULL JOIN k ON j.evidence_id = k.evidence_id)
 SELECT tp AS true_positives, fp AS false_positives, fn AS false_negatives, coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0.0) AS "precision", coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0.0) AS recall, coalesce(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0.0) AS f1 FROM n""")
 def indicator_agreement(spark: SparkSession, d: str) -> DataFrame:
     """How far the logs with a spoofing state are those with a jamming state."""
-    from plumbline.plans import flight
-
     i = flight.gps_state_asserted(spark, d)
     return statistics.confusion(i.where("indicator = 'GPS_JAMMING_STATE'"), i.where("indicator = 'GPS_SPOOFING_STATE'"), ["evidence_id"])
 
@@ -230,7 +310,7 @@ def _range_sql(cte: str, alias: str, fields: list[str]) -> str:
 
 
 _GPS_FIELDS = ["altitude_m", "speed_m_s", "hdop", "vdop", "heading_deg"]
-_TRAJECTORY_FIELDS = ["x_m", "y_m", "vx_m_s", "vy_m_s", "vz_m_s"]
+_TRAJECTORY_FIELDS = ["x_m", "y_m", "z_m", "vx_m_s", "vy_m_s", "vz_m_s"]
 
 
 @REGISTRY.add("gps_statistics", _range_sql(GPS, "g", _GPS_FIELDS))
@@ -267,19 +347,56 @@ def receiver_histogram(spark: SparkSession, d: str) -> DataFrame:
     return statistics.histogram(once(table(spark, d, "gps").where("evidence_id is not null").select("seq", *columns), "seq"), [], columns)
 
 
-_CATEGORIES = {"gps": ["latitude", "altitude_m", "speed_m_s", "fix_type", "jamming_state"], "trajectory": ["x_m", "vx_m_s", "z_m", "vertical_reset_counter"], "commands": ["command_id", "target_system"], "command_acks": ["command_id", "result"]}
+# The categories of records, and the tables given for them.
+_CATEGORIES = {
+    "gps": "gps", "trajectory": "trajectory", "states": "state_reconstruction", "commands": "commands", "command_acks": "command_acks", "telemetry": "telemetry_frames",
+    "events": "forensic_timeline",
+}
 _ALL = ("gps", "navigation", "trajectory", "battery", "telemetry", "failsafe", "commands", "command_acks", "states", "parameters", "events")
+_KEYS = ("evidence_id", "seq")
+_FIELDS_OF = {
+    "gps": ("vehicle_id", "timestamp", "latitude", "longitude", "altitude_m", "speed_m_s", "fix_type", "satellites", "hdop", "vdop", "heading_deg", "jamming_state", "spoofing_state", "source_platform"),
+    "trajectory": ("vehicle_id", "timestamp", "x_m", "y_m", "z_m", "vx_m_s", "vy_m_s", "vz_m_s", "position_valid", "velocity_valid", "vertical_reset_counter", "coordinate_frame", "source_platform"),
+    "states": ("vehicle_id", "field", "previous_value", "new_value", "timestamp_us", "timestamp_seconds", "event_type", "source_dataset"),
+    "commands": ("vehicle_id", "command_timestamp_us", "command_id", "source_system", "source_component", "target_system", "source_platform"),
+    "command_acks": ("vehicle_id", "timestamp_us", "command_id", "result", "source_system", "target_system", "source_platform"),
+    "telemetry": ("video_id", "recorder_id", "frame_index", "start_s", "end_s", "log_offset_s", "device_time", "latitude", "longitude", "relative_altitude_m", "height_m", "horizontal_speed_m_s"),
+    "events": ("timestamp_us", "boot_utc_us", "event_type", "source_dataset", "severity", "details"),
+}
+_STATUS = "CASE WHEN records > 0 AND populated > 0 THEN 'extracted' WHEN records > 0 THEN 'source_present_no_normalized_records' ELSE 'not_recorded' END"
 
 
-@REGISTRY.add("extraction_coverage", "\nUNION ALL ".join(
-    [f"SELECT '{t}' AS category, '{c}' AS field, count(*) AS records, count({c}) AS populated FROM (SELECT DISTINCT * FROM {t})" for t, cs in _CATEGORIES.items() for c in cs]
-    + [f"SELECT '{c}', NULL, 0, 0" for c in _ALL if c not in _CATEGORIES]))
+@REGISTRY.add("extraction_coverage", "WITH u AS (" + "\nUNION ALL ".join(
+    [f"SELECT '{k}' AS category, '{c}' AS field, count(*) AS records, count(\"{c}\") AS populated FROM (SELECT DISTINCT * FROM {t})" for k, t in _CATEGORIES.items() for c in _FIELDS_OF[k]]
+    + [f"SELECT '{c}', NULL, 0, 0" for c in _ALL if c not in _CATEGORIES]) + f") SELECT *, {_STATUS} AS status FROM u")
 def extraction_coverage(spark: SparkSession, d: str) -> DataFrame:
-    """How many records of each category have each field; categories without a table too."""
-    tables = {t: once(table(spark, d, t).select("seq", *cs), "seq").select(*cs) for t, cs in _CATEGORIES.items()}
-    return statistics.coverage(tables, list(_ALL))
-
-
+    """How many records of each category have each field, and what that says of it;
+    categories without a table too."""
+    tables = {}
+    for k, t in _CATEGORIES.items():
+        df = table(spark, d, t)
+        tables[k] = once(df, "seq").select(*[c for c in df.columns if c not in _KEYS])
+    out = statistics.coverage(tables, list(_ALL))
+    status = F.when((F.col("records") > 0) & (F.col("populated") > 0), "extracted").when(F.col("records") > 0, "source_present_no_normalized_records").otherwise("not_recorded")
+    return out.withColumn("status", status)
+
+
+@REGISTRY.add("message_fields", "\nUNION ALL ".join(
+    f"SELECT '{t}' AS source, count(*) AS records, count(DISTINCT evidence_id) AS logs, concat_ws(',', {', '.join(f'CASE WHEN count({chr(34)}{c}{chr(34)}) > 0 THEN {chr(39)}{c}{chr(39)} END' for c in sorted(_FIELDS_OF[k]))}) AS fields FROM (SELECT DISTINCT * FROM {t})"
+    for k, t in _CATEGORIES.items()))
+def message_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Of each source its records, its logs and the union of the fields that they have."""
+    out = None
+    for k, t in _CATEGORIES.items():
+        df = once(table(spark, d, t), "seq")
+        fields = sorted(c for c in df.columns if c not in _KEYS)
+        n = df.agg(F.count(F.lit(1)).alias("records"), F.count_distinct("evidence_id").alias("logs"), F.concat_ws(",", *[F.when(F.count(c) > 0, c) for c in fields]).alias("fields"))
+        n = n.select(F.lit(t).alias("source"), "records", "logs", "fields")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+# Prefixes of names, in the order in which they are tried.
 _PREFIXES = ("BAT", "CBRK", "COM", "GF", "MAV", "MIS", "NAV", "RC", "SYS")
 
 
@@ -310,43 +427,82 @@ w AS (SELECT *, max(end_s) OVER (PARTITION BY evidence_id, video_id ORDER BY sta
 SELECT evidence_id, video_id, seq FROM w WHERE start_s < latest_end""")
 def frame_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """Frames that begin before an earlier frame of their video has ended."""
-    from plumbline.operators.pieces import sequenced
-
     rows = sequenced(table(spark, d, "telemetry_frames").select("evidence_id", "video_id", "seq", "start_s", "end_s"), ["evidence_id", "video_id"], "start_s")
     return changes.overlaps(rows, ["evidence_id", "video_id"], "start_s", "end_s").select("evidence_id", "video_id", "seq")
 
 
-_FRAMES_SQL = r"""
-f AS (SELECT doc_id, regexp_replace(text, '\r\n?', chr(10), 'g') AS text FROM documents WHERE source = 'drone_sidecar' AND text <> ''),
-p AS (SELECT doc_id, regexp_split_to_array(text, '\n[ \t]*\n+') AS blocks FROM f),
-b AS (SELECT doc_id, CAST(i - 1 AS INTEGER) AS cue, blocks[i] AS block FROM p, generate_series(1, len(blocks)) AS x(i)),
-t AS (SELECT *, regexp_extract(block, '(\d+):(\d{2}):(\d{2})[.,](\d{1,3})\s*-->\s*(\d+):(\d{2}):(\d{2})[.,](\d{1,3})', ['h', 'm', 's', 'f', 'h2', 'm2', 's2', 'f2']) AS x,
-  coalesce(try_cast(nullif(regexp_extract(block, '\[latitude\s*:\s*([-+]?\d+(?:\.\d+)?)\]', 1), '') AS DOUBLE), try_cast(nullif(regexp_extract(block, 'GPS\s*\(\s*([-+]?\d+(?:\.\d+)?)\s*,\s*([-+]?\d+(?:\.\d+)?)\s*,\s*([-+]?\d+(?:\.\d+)?)\s*\)', 2), '') AS DOUBLE)) AS lat,
-  coalesce(try_cast(nullif(regexp_extract(block, '\[longitude\s*:\s*([-+]?\d+(?:\.\d+)?)\]', 1), '') AS DOUBLE), try_cast(nullif(regexp_extract(block, 'GPS\s*\(\s*([-+]?\d+(?:\.\d+)?)\s*,\s*([-+]?\d+(?:\.\d+)?)\s*,\s*([-+]?\d+(?:\.\d+)?)\s*\)', 1), '') AS DOUBLE)) AS lon,
-  coalesce(try_cast(nullif(regexp_extract(block, 'abs_alt:\s*([-+]?\d+(?:\.\d+)?)', 1), '') AS DOUBLE), try_cast(nullif(regexp_extract(block, 'GPS\s*\(\s*([-+]?\d+(?:\.\d+)?)\s*,\s*([-+]?\d+(?:\.\d+)?)\s*,\s*([-+]?\d+(?:\.\d+)?)\s*\)', 3), '') AS DOUBLE)) AS altitude_m,
-  coalesce(try_cast(nullif(regexp_extract(block, 'BAROMETER:\s*([-+]?\d+(?:\.\d+)?)', 1), '') AS DOUBLE), try_cast(nullif(regexp_extract(block, 'rel_alt:\s*([-+]?\d+(?:\.\d+)?)', 1), '') AS DOUBLE)) AS barometer_m,
-  try_cast(nullif(regexp_extract(block, '(?i)\biso\s*:\s*(\d+)', 1), '') AS DOUBLE) AS iso FROM b),
-r AS (SELECT doc_id, cue, ((CAST(x.h AS BIGINT) * 3600 + CAST(x.m AS BIGINT) * 60 + CAST(x.s AS BIGINT)) * 1000 + CAST(rpad(x.f, 3, '0') AS BIGINT)) / 1000.0 AS start_s,
-  ((CAST(x.h2 AS BIGINT) * 3600 + CAST(x.m2 AS BIGINT) * 60 + CAST(x.s2 AS BIGINT)) * 1000 + CAST(rpad(x.f2, 3, '0') AS BIGINT)) / 1000.0 AS end_s,
-  lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 AND NOT (lat = 0 AND lon = 0) AS ok, lat, lon, altitude_m, barometer_m, iso,
-  CASE WHEN regexp_matches(block, '\[latitude\s*:\s*([-+]?\d+(?:\.\d+)?)\]') THEN 'bracket' WHEN regexp_matches(block, 'GPS\s*\(\s*([-+]?\d+(?:\.\d+)?)\s*,\s*([-+]?\d+(?:\.\d+)?)\s*,\s*([-+]?\d+(?:\.\d+)?)\s*\)') THEN 'gps' ELSE 'other' END AS form
-  FROM t WHERE x.h <> '')"""
-
-
-@REGISTRY.add("sidecar_frames", f"WITH {_FRAMES_SQL} SELECT doc_id, cue, start_s, end_s, CASE WHEN ok THEN lat END AS latitude, CASE WHEN ok THEN lon END AS longitude, altitude_m, barometer_m, iso, form FROM r")
+_N = r"[-+]?\d+(?:\.\d+)?"
+
+
+def _part(pattern: str, group: int = 1, cast: str | None = "DOUBLE") -> str:
+    got = f"nullif(regexp_extract(body, '{pattern}', {group}), '')"
+    return f"try_cast({got} AS {cast})" if cast else got
+
+
+def _in_brackets(key: str) -> str:
+    return _part(rf"(?i)\[(?:[^\]]*[^A-Za-z_\]])?{key}\s*:\s*([^\s\]]+)")
+
+
+_PAIR = rf"\bGPS\s*\(\s*({_N})\s*,\s*({_N})\s*(?:,\s*({_N})\s*([Mm])?)?\s*\)"
+_HOME = rf"\bHOME\s*\(\s*({_N})\s*,\s*({_N})\s*(?:,\s*({_N})\s*m)?\s*\)"
+_CLOCK = r"(\d{4})[-.](\d{1,2})[-.](\d{1,2})\s+(\d{1,2}):(\d{2}):(\d{2})(?:[.,](\d{1,3}))?"
+_CUE = r"(\d{1,2}):(\d{2}):(\d{2})[,.](\d{3})\s*-->\s*(\d{1,2}):(\d{2}):(\d{2})[,.](\d{3})"
+
+
+def _attitude(letter: str, group: int) -> str:
+    return _part(rf"{letter}\.PRY\s*\(\s*({_N})°?\s*,\s*({_N})°?\s*,\s*({_N})°?\s*\)", group)
+
+
+def _cue_seconds(first: int) -> str:
+    g = [f"try_cast(nullif(regexp_extract(line, '{_CUE}', {first + k}), '') AS BIGINT)" for k in range(4)]
+    return f"(({g[0]} * 3600 + {g[1]} * 60 + {g[2]}) * 1000 + {g[3]}) / 1000.0"
+
+
+def _km(lat: str, lon: str) -> str:
+    return f"CASE WHEN {lat} BETWEEN -90 AND 90 THEN 2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(klat - {lat}) / 2), 2) + cos(radians({lat})) * cos(radians(klat)) * pow(sin(radians(klon - {lon}) / 2), 2)))) ELSE 'inf'::DOUBLE END"
+
+
+_FRAMES_SQL = rf"""
+x AS (SELECT doc_id, string_split_regex(regexp_replace(ltrim(text, chr(65279)), '\r\n?', chr(10), 'g'), '\n\s*\n') AS blocks FROM documents WHERE source = 'drone_sidecar' AND text IS NOT NULL),
+y AS (SELECT doc_id, unnest(list_filter(blocks, lambda b: regexp_matches(b, '\S'))) AS block, generate_subscripts(list_filter(blocks, lambda b: regexp_matches(b, '\S')), 1) AS frame FROM x),
+z AS (SELECT *, try_cast(nullif(regexp_extract(block, '^\s*(\d+)[ \t]*(?:\n|$)', 1), '') AS INTEGER) AS number, regexp_replace(block, '^\s*\d+[ \t]*(?:\n\s*|$)', '') AS rest FROM y),
+l AS (SELECT *, regexp_extract(trim(rest), '^[^\n]*') AS line FROM z),
+w AS (SELECT *, regexp_replace(regexp_replace(CASE WHEN regexp_matches(line, '{_CUE}') THEN regexp_replace(rest, '^\s*[^\n]*', '') ELSE rest END, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g') AS body FROM l),
+v AS (SELECT doc_id, CAST(frame AS INTEGER) AS frame, coalesce(number, CAST(frame AS INTEGER)) AS cue, {_cue_seconds(1)} AS start_s, {_cue_seconds(5)} AS end_s,
+  CASE WHEN regexp_matches(body, '{_CLOCK}') THEN regexp_extract(body, '{_CLOCK}', 1) || '-' || lpad(regexp_extract(body, '{_CLOCK}', 2), 2, '0') || '-' || lpad(regexp_extract(body, '{_CLOCK}', 3), 2, '0') || 'T' || lpad(regexp_extract(body, '{_CLOCK}', 4), 2, '0') || ':'
+    || regexp_extract(body, '{_CLOCK}', 5) || ':' || regexp_extract(body, '{_CLOCK}', 6) || CASE WHEN regexp_extract(body, '{_CLOCK}', 7) <> '' THEN '.' || rpad(regexp_extract(body, '{_CLOCK}', 7), 3, '0') ELSE '' END END AS device_time,
+  regexp_matches(body, '\[[^\]]*[A-Za-z_]+\s*:\s*[^\s\]]+') AS keyed, {_in_brackets("latitude")} AS nlat, coalesce({_in_brackets("longitude")}, {_in_brackets("longtitude")}) AS nlon,
+  {_in_brackets("rel_alt")} AS relative_altitude_m, {_in_brackets("abs_alt")} AS absolute_altitude_m, {_part(_PAIR, 3, None)} AS third_text, {_part(_PAIR, 4, None)} IS NOT NULL AS unit, {_in_brackets("altitude")} AS named_altitude,
+  {_part(rf"BAROMETER\s*:\s*({_N})")} AS barometric_height_m, {_part(rf"(?:^|[^\w.])H\s+({_N})m")} AS height_m, {_part(rf"(?:^|[^\w.])D\s+({_N})m")} AS distance_from_home_m,
+  {_part(rf"H\.S\s+({_N})m/s")} AS horizontal_speed_m_s, {_part(rf"V\.S\s+({_N})m/s")} AS vertical_speed_m_s, {_part(_PAIR, 1)} AS "first", {_part(_PAIR, 2)} AS "second", {_part(_HOME, 1)} AS home_first, {_part(_HOME, 2)} AS home_second,
+  {_part(r"(?i)\biso\s*:\s*(\d+)")} AS iso, {", ".join(f"{_attitude(c, k)} AS {n}_{axis}" for n, c in (("aircraft", "F"), ("gimbal", "G")) for k, axis in enumerate(("pitch", "roll", "yaw"), 1))} FROM w),
+u AS (SELECT *, CASE WHEN nlat BETWEEN -90 AND 90 AND nlon BETWEEN -180 AND 180 AND NOT (nlat = 0 AND nlon = 0) THEN nlat END AS olat, CASE WHEN nlat BETWEEN -90 AND 90 AND nlon BETWEEN -180 AND 180 AND NOT (nlat = 0 AND nlon = 0) THEN nlon END AS olon FROM v),
+o AS (SELECT doc_id, bool_or("first" IS NOT NULL OR home_first IS NOT NULL) AS pairs, bool_or(keyed) AS keyed, coalesce(bool_or(abs("first") > 90), false) OR coalesce(bool_or(abs(home_first) > 90), false) AS a,
+  coalesce(bool_or(abs("second") > 90), false) OR coalesce(bool_or(abs(home_second) > 90), false) AS b, arg_min(olat, frame) FILTER (olat IS NOT NULL AND "first" IS NULL) AS klat, arg_min(olon, frame) FILTER (olat IS NOT NULL AND "first" IS NULL) AS klon,
+  arg_min("first", frame) FILTER ("first" IS NOT NULL) AS p1, arg_min("second", frame) FILTER ("first" IS NOT NULL) AS p2, bool_or("first" IS NOT NULL) AS positional FROM u GROUP BY doc_id),
+q AS (SELECT *, {_km("p2", "p1")} AS one, {_km("p1", "p2")} AS other FROM o),
+d AS (SELECT *, CASE WHEN NOT pairs THEN CASE WHEN keyed THEN 'keyed' ELSE 'not_applicable' END WHEN a AND b THEN 'inconsistent' WHEN a THEN 'lon_lat' WHEN b THEN 'lat_lon' WHEN one < 1 AND other > 100 THEN 'lon_lat' WHEN other < 1 AND one > 100 THEN 'lat_lon' ELSE 'ambiguous' END AS axis_order,
+  CASE WHEN NOT pairs THEN NULL WHEN a OR b THEN 'value_range' WHEN (one < 1 AND other > 100) OR (other < 1 AND one > 100) THEN 'keyed_frames_in_same_file' END AS axis_source FROM q),
+f0 AS (SELECT u.*, d.axis_order, d.axis_source, CASE axis_order WHEN 'lon_lat' THEN "second" WHEN 'lat_lon' THEN "first" END AS plat, CASE axis_order WHEN 'lon_lat' THEN "first" WHEN 'lat_lon' THEN "second" END AS plon FROM u JOIN d USING (doc_id)),
+r AS (SELECT *, olat IS NULL AND coalesce(plat BETWEEN -90 AND 90 AND plon BETWEEN -180 AND 180 AND NOT (plat = 0 AND plon = 0), false) AS paired FROM f0)"""
+_OF_CUES = "start_s, end_s, device_time, relative_altitude_m, absolute_altitude_m, barometric_height_m, height_m, distance_from_home_m, horizontal_speed_m_s, vertical_speed_m_s, \"first\", \"second\", home_first, home_second, iso, aircraft_pitch, aircraft_roll, aircraft_yaw, gimbal_pitch, gimbal_roll, gimbal_yaw"
+
+
+@REGISTRY.add("sidecar_frames", f"""WITH {_FRAMES_SQL} SELECT doc_id, axis_order, CASE WHEN paired THEN plat ELSE olat END AS latitude, CASE WHEN paired THEN plon ELSE olon END AS longitude, frame, cue, {_OF_CUES},
+  CASE WHEN unit THEN try_cast(third_text AS DOUBLE) ELSE named_altitude END AS altitude_m, CASE WHEN NOT unit THEN third_text END AS third FROM r""")
 def sidecar_frames(spark: SparkSession, d: str) -> DataFrame:
     """Telemetry in the cues of drone sidecars."""
     return sidecars.frames(table(spark, d, "documents"))
 
 
 @REGISTRY.add("sidecar_summary", f"""
-WITH {_FRAMES_SQL} SELECT doc_id, count(*) AS frames, CAST(count_if(ok) AS BIGINT) AS with_position, min(start_s) AS first_s, max(end_s) AS last_s, string_agg(DISTINCT form, ',' ORDER BY form) AS forms FROM r GROUP BY doc_id""")
+WITH {_FRAMES_SQL}, s AS (SELECT *, CASE WHEN paired THEN plat ELSE olat END AS lat, CASE WHEN paired THEN plon ELSE olon END AS lon FROM r)
+SELECT doc_id, count(*) AS frames, count(lat) AS with_position, concat_ws(',', CASE WHEN bool_or(keyed) THEN 'keyed' END, CASE WHEN bool_or("first" IS NOT NULL) THEN 'positional' END) AS formats, any_value(axis_order) AS axis_order, any_value(axis_source) AS axis_source,
+  arg_min(device_time, frame) FILTER (device_time IS NOT NULL) AS first_device_time, arg_max(device_time, frame) FILTER (device_time IS NOT NULL) AS last_device_time,
+  arg_min(lat, frame) FILTER (lat IS NOT NULL) AS first_latitude, arg_min(lon, frame) FILTER (lat IS NOT NULL) AS first_longitude FROM s GROUP BY doc_id""")
 def sidecar_summary(spark: SparkSession, d: str) -> DataFrame:
-    f = sidecars.frames(table(spark, d, "documents"))
-    return f.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("frames"), F.count_if(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()).alias("with_position"), F.min("start_s").alias("first_s"), F.max("end_s").alias("last_s"),
-        F.array_join(F.array_sort(F.collect_set("form")), ",").alias("forms"),
-    )
+    """Cues, positions, formats, order of pairs and device times of each file."""
+    return sidecars.summaries(table(spark, d, "documents")).where("frames > 0")
 
 
 @REGISTRY.add("content_copies", "SELECT sha256(text) AS sha256, count(*) AS copies, min(doc_id) AS first_doc_id, count(DISTINCT source) AS sources FROM documents WHERE text IS NOT NULL GROUP BY sha256(text) HAVING count(*) > 1")

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.functions import geo
 from plumbline.functions.numbers import quantised
-from plumbline.operators import changes, forecasts, matching, statistics
+from plumbline.operators import changes, forecasts, indicators, statistics
 from plumbline.operators.history import CODE_FIELDS
 from plumbline.operators.pieces import sequenced
 from plumbline.plans.registry import Registry
-from plumbline.sources import sidecars
 from plumbline.sources.tables import once, table
 
 REGISTRY = Registry()
@@ -80,16 +79,16 @@ def gps_receiver_states(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(differs).select("evidence_id", "seq", *columns)
 
 
-JUMP_M = 100.0
-_HAVERSINE = """2 * 6371000.0 * atan2(sqrt(h), sqrt(greatest(1 - h, 0.0)))"""
-_H = """pow(sin(radians(latitude - plat) / 2), 2) + cos(radians(plat)) * cos(radians(latitude)) * pow(sin(radians(longitude - plon) / 2), 2)"""
+JUMP_M = indicators.JUMP_M
+HAVERSINE = """2 * 6371000.0 * atan2(sqrt(h), sqrt(greatest(1 - h, 0.0)))"""
+HAVERSINE_PART = """pow(sin(radians(latitude - plat) / 2), 2) + cos(radians(plat)) * cos(radians(latitude)) * pow(sin(radians(longitude - plon) / 2), 2)"""
 
 
 @REGISTRY.add("gps_position_jump", f"""
 WITH {GPS}, w AS (SELECT evidence_id, seq, latitude, longitude, "timestamp" AS ts, lag(latitude) OVER l AS plat, lag(longitude) OVER l AS plon, lag("timestamp") OVER l AS pts, lag(seq) OVER l AS previous_seq
   FROM g WINDOW l AS (PARTITION BY evidence_id ORDER BY seq)),
-x AS (SELECT evidence_id, seq, previous_seq, ts - pts AS dt, {_H} AS h FROM w WHERE ts > pts)
-SELECT evidence_id, seq, previous_seq, CAST({floored(_HAVERSINE, 2)} AS DOUBLE) AS distance_m FROM x WHERE {_HAVERSINE} >= {JUMP_M}""")
+x AS (SELECT evidence_id, seq, previous_seq, ts - pts AS dt, {HAVERSINE_PART} AS h FROM w WHERE ts > pts)
+SELECT evidence_id, seq, previous_seq, CAST({floored(HAVERSINE, 2)} AS DOUBLE) AS distance_m FROM x WHERE {HAVERSINE} >= {JUMP_M}""")
 def gps_position_jump(spark: SparkSession, d: str) -> DataFrame:
     """Great-circle steps of 100 m and more between records next to each other in order of
     emission. The record before counts even without a position, which then gives no step."""
@@ -188,7 +187,7 @@ SELECT evidence_id, field, CAST("interval" AS BIGINT) AS "interval", min(CASE WH
 FROM i WHERE "interval" > 0 AND (flag OR before) GROUP BY evidence_id, field, "interval" """)
 def flag_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Periods in which each flag held; unknown values neither open nor close one."""
-    return changes.flag_intervals(_flags(spark, d), FIELD, ["timestamp_us", "seq"], "flag", "timestamp_us")
+    return changes.flag_intervals(_flags(spark, d), FIELD, ["timestamp_us", "seq"], "flag", "timestamp_us").drop("first_seq")
 
 
 @REGISTRY.add("flag_counts", f"""
