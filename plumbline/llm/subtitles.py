@@ -14,15 +14,17 @@ NUMBER_LINE = re.compile(r"^[ \t﻿]*\d+[ \t]*$", re.M)
 MARKUP = re.compile(r"<[^<>\n]{0,200}>|\{[^{}\n]{0,200}\}")
 SOUND = re.compile(r"\[[^\[\]]{0,200}\]|\([^()]{0,200}\)|♪[^♪\n]{0,200}♪?|#[^#\n]{1,200}#")
 SPEAKER = re.compile(r"^[ \t]*(?:[-–—][ \t]*)?[A-ZÀ-Þ][A-ZÀ-Þ .'’-]{0,30}:(?=[ \t])", re.M)
-# What adverts and credits in subtitle files contain, in lower case. The hints
-# are looked for first; only lines with a hint are matched.
+#: A host name: lower case after a dot without space, where a new sentence would have a capital.
+HOST = re.compile(r"[\w-]\.[a-z]{2,}(?![\w.])")
+# Words of credits and adverts in subtitle files, in lower case. The hints are
+# looked for first; only lines with a hint are matched.
 ADVERT_HINTS = (
-    "www.", "://", "@", ".com", ".net", ".org", ".info", ".example", "btitle", "btitul", "btítul", "ynced", "ynchroni",
-    "corrected", "translated", "caption", "vip member", "advertise", "sous-titre", "untertitel", "==",
+    "www.", "://", "@", "btitle", "btitul", "btítul", "ynced", "ynchroni", "corrected", "translated", "caption", "vip member", "advertise",
+    "sous-titre", "untertitel", "==",
 )
 ADVERT = re.compile(
-    r"www\.|https?:|\b[\w-]+\.(?:com|net|org|info|example)\b|\w@\w|\bsubtitle[sd]? by\b|\bcaptions? by\b|\bsynced by\b|\bsynchroni[sz]ed by\b"
-    r"|\bcorrected by\b|\btranslated by\b|\bvip member\b|\badvertise your\b|\bsous-titres? par\b|\buntertitel von\b|\bsubt[ií]tulos (?:por|de)\b|^\s*==.*==\s*$"
+    r"www\.|https?:|\w@\w|\bsubtitle[sd]? by\b|\bcaptions? by\b|\bsynced by\b|\bsynchroni[sz]ed by\b|\bcorrected by\b|\btranslated by\b"
+    r"|\bvip member\b|\badvertise your\b|\bsous-titres? par\b|\buntertitel von\b|\bsubt[ií]tulos (?:por|de)\b|^\s*==.*==\s*$"
 )
 _FOREIGN = re.compile(r"[^\x00-\x7f]{2,}")
 _CODEPAGES = ("cp1252", "cp437", "cp850", "latin-1")
@@ -70,8 +72,11 @@ def lines_unified(text: str) -> str:
 def without_adverts(text: str) -> str:
     low = text.lower()
     if len(low) != len(text):  # some capitals grow; then the places differ
-        return "\n".join("" if ADVERT.search(x.lower()) else x for x in text.split("\n"))
+        return "\n".join("" if HOST.search(x) or ADVERT.search(x.lower()) else x for x in text.split("\n"))
     spans: set[tuple[int, int]] = set()
+    for m in HOST.finditer(text):
+        end = text.find("\n", m.start())
+        spans.add((text.rfind("\n", 0, m.start()) + 1, len(text) if end < 0 else end))
     for hint in ADVERT_HINTS:
         at = low.find(hint)
         while at >= 0:
