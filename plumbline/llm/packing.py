@@ -23,11 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.operators.pieces import sorted_groups
+from plumbline.operators.written import written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Splits a text into words, numbers and signs before merging bytes.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHARD_TEXTS = 20_000
+#: More capacities than a plan should list are an error.
+MOST_CAPACITIES = 1_000
 PACKED = "context_id string, shard int, bin int, doc_id bigint, piece int, tokens int"
 
 
@@ -139,12 +142,15 @@ def _pack(t: pa.Table, group: np.ndarray) -> pa.Table:
 def packed_contexts(documents: DataFrame, contexts: DataFrame, tokenizer: str = TOKENIZER, shard_texts: int = SHARD_TEXTS) -> DataFrame:
     """``(context_id, shard, bin, doc_id, piece, tokens)``: the context of each text or piece.
     ``shard`` and ``bin`` name the context; full pieces have shard -1 and a bin of their own,
-    named by document and piece."""
-    counts = token_counts(documents, tokenizer)
-    shards = max(1, -(-documents.count() // shard_texts))
+    named by document and piece. Texts are tokenized once: their sizes, two numbers each, are
+    written."""
+    counts = written(token_counts(documents, tokenizer))
+    shards = max(1, -(-counts.count() // shard_texts))
     sizes = contexts.select("context_id", F.col("capacity_tokens").cast("int").alias("capacity")).where("context_id is not null and capacity > 0").distinct()
-    # a list of the sizes goes along with each text: three numbers, collected from a tiny table
-    listed = [tuple(r) for r in sizes.orderBy("context_id").collect()]
+    # every text meets every capacity; they are given with the job and go along as a list
+    listed = [tuple(r) for r in sizes.orderBy("context_id").limit(MOST_CAPACITIES + 1).collect()]
+    if len(listed) > MOST_CAPACITIES:
+        raise ValueError(f"more than {MOST_CAPACITIES} capacities")
     if not listed:
         return documents.sparkSession.createDataFrame([], PACKED)
     each = F.array(*[F.struct(F.lit(c).alias("context_id"), F.lit(n).alias("capacity")) for c, n in listed])

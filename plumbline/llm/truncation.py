@@ -41,6 +41,8 @@ PILE_SHOWN = 0.3
 RARE, KNOWN = 0.02, 4
 #: A phrase needs this many occurrences to say something, and ends cues at most this often.
 PHRASES, ENDS = 12, 0.004
+#: Letters down to which the tries have a row for each node.
+DEPTH = 40
 CUE = "\x1e"
 PARTS = "kind string, doc_id bigint, w1 string, w2 string, seen bigint, ends bigint, source string, chars bigint, bytes bigint, hash bigint, form boolean, lost boolean, open boolean"
 
@@ -111,19 +113,20 @@ def vocabulary(phrases: DataFrame) -> DataFrame:
     return phrases.where(~F.col("w2").isin(CUE, "0")).groupBy(F.col("w2").alias("word")).agg(F.sum("seen").alias("count"))
 
 
-def trie(words: DataFrame) -> DataFrame:
-    """``(prefix, best)``: each proper prefix of a known word with the count of the most
-    frequent word that it begins. Prefixes are followed to a depth of 40 letters."""
-    known = words.where((F.col("count") >= KNOWN) & (F.length("word") > 1))
-    node = F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("word") - 1, F.lit(40))), lambda n: F.substring("word", 1, n)))
-    return known.select(node.alias("prefix"), "count").groupBy("prefix").agg(F.max("count").alias("best"))
-
-
-def phrase_trie(phrases: DataFrame) -> DataFrame:
-    """``(w1, prefix, best)``: the trie of the words that follow each word."""
-    known = phrases.where((F.col("seen") >= KNOWN) & (F.length("w2") > 1))
-    node = F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("w2") - 1, F.lit(40))), lambda n: F.substring("w2", 1, n)))
-    return known.select("w1", node.alias("prefix"), "seen").groupBy("w1", "prefix").agg(F.max("seen").alias("best_after"))
+def _best_word(asked: DataFrame, words: DataFrame, keys: list[str], word: str, count: str, name: str) -> DataFrame:
+    """Adds ``name`` to ``asked`` (``keys`` and ``w2``): the count of the most frequent word
+    (after the same keys) that ``w2`` begins. The trie is a table with one row per node down to
+    DEPTH letters; longer tokens are compared with the words below the node at that depth."""
+    known = words.where((F.col(count) >= KNOWN) & (F.length(word) > 1)).select(*keys, F.col(word).alias("_word"), F.col(count).alias("_n"))
+    depth = F.least(F.length("_word") - 1, F.lit(DEPTH))
+    node = F.explode(F.transform(F.sequence(F.lit(1), depth), lambda n: F.substring("_word", 1, n))).alias("w2")
+    trie = known.select(*keys, node, "_n").groupBy(*keys, "w2").agg(F.max("_n").alias("_near"))
+    at = [F.substring("w2", 1, DEPTH).alias("_node"), "w2"]
+    long = asked.where(F.length("w2") > DEPTH).select(*keys, *at).distinct()
+    below = known.where(F.length("_word") > DEPTH + 1).withColumn("_node", F.substring("_word", 1, DEPTH))
+    deep = long.join(below, [*keys, "_node"]).where(F.startswith("_word", F.col("w2")) & (F.col("_word") != F.col("w2"))).groupBy(*keys, "w2").agg(F.max("_n").alias("_far"))
+    out = asked.join(trie, [*keys, "w2"], "left").join(deep, [*keys, "w2"], "left")
+    return out.withColumn(name, F.when(F.length("w2") > DEPTH, F.col("_far")).otherwise(F.col("_near"))).drop("_near", "_far")
 
 
 def piles(ends: DataFrame) -> DataFrame:
@@ -146,14 +149,15 @@ def truncated_texts(documents: DataFrame) -> DataFrame:
     rows = documents.select("doc_id", "source", "text", F.xxhash64("text").alias("hash")).where("doc_id is not null and text <> ''")
     # phrases and endings come from one pass over the texts; a few bytes of it are written
     parts = written(rows.mapInArrow(read_parts, PARTS))
-    phrases = parts.where("kind = 'phrase'").groupBy("w1", "w2").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends"))
+    # so are their sums, which four branches use
+    phrases = written(parts.where("kind = 'phrase'").groupBy("w1", "w2").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends")))
     ends = parts.where("kind = 'end'").select("doc_id", "source", "w1", "w2", "chars", "bytes", "hash", "form", "lost", "open")
     words = vocabulary(phrases)
 
     asked = ends.where("open").select("w1", "w2").distinct()
     asked = asked.join(phrases, ["w1", "w2"], "left").join(words.select(F.col("word").alias("w2"), "count"), "w2", "left")
-    asked = asked.join(trie(words).withColumnRenamed("prefix", "w2"), "w2", "left")
-    asked = asked.join(phrase_trie(phrases).withColumnRenamed("prefix", "w2"), ["w1", "w2"], "left")
+    asked = _best_word(asked, words, [], "word", "count", "best")
+    asked = _best_word(asked, phrases, ["w1"], "w2", "seen", "best_after")
     prefix = (F.coalesce("count", F.lit(0)) <= F.col("best") * RARE) | (F.coalesce("seen", F.lit(0)) <= F.col("best_after") * RARE)
     phrase = (F.col("seen") >= PHRASES) & (F.col("ends") <= F.col("seen") * ENDS)
     cut = asked.where(F.coalesce(prefix, F.lit(False)) | F.coalesce(phrase, F.lit(False))).select("w1", "w2", F.lit(True).alias("cut"))

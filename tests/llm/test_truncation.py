@@ -42,6 +42,18 @@ def test_evidence(spark):
     assert report["other"]["share"] == 1.0 and report[None]["truncated"] == 0
 
 
+def test_tokens_longer_than_the_trie(spark):
+    """Scripts without spaces and compounds give tokens of any length."""
+    rnd = random.Random(3)
+    known = "".join(rnd.choice("abcdefgh") for _ in range(90))
+    whole = lambda w: f"1\n00:00:01,000 --> 00:00:01,900\nwe saw {w} again.\n\n2\n00:00:02,000 --> 00:00:02,900\nnobody saw {w}."
+    rows = [(k, "s", whole(known)) for k in range(6)]
+    cut = {10: known[:60], 11: known[:41], 12: known[:39], 13: known[:60] + "x", 14: known}
+    rows += [(k, "t", f"1\n00:00:01,000 --> 00:00:01,900\nwe saw {w}") for k, w in cut.items()]
+    got = {r["doc_id"]: r["truncated"] for r in truncated_texts(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert [got[k] for k in cut] == [True, True, True, False, False] and not any(got[k] for k in range(6))
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, source string, text string")
     assert truncated_texts(df).count() == 0 and truncation_report(df).count() == 0
