@@ -1,9 +1,11 @@
 """History of changing attributes: one version per period in which a value held.
 
-Gaps and islands: a row whose value's hash differs from that of the row before (``lag``)
-starts an island, a running sum numbers the islands, and the minimum of an island with the
-next one's start bounds its version. Groups of any size are cut into pieces of time; a piece
-only needs the last value before it, which comes from one summary row per piece.
+Gaps and islands: a row whose value's hash differs from that of the row before (``lag``; where
+hashes agree the values decide) starts an island, a running sum numbers the islands, and the
+minimum of an island with the next one's start bounds its version. One partitioning by log,
+field and piece serves the removal of repeats, the chains and all windows. Groups of any size
+are cut into pieces of time; a piece only needs the last value before it and the first island
+after it, which come from one summary row per piece.
 
 Defined results: records with a null value say nothing, records with a null key or time are
 dropped, and records with the same ``seq`` count once. Values are compared by
@@ -17,7 +19,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plumbline.operators.pieces import carried, split_hot
+from plumbline.operators.changes import numbered
+from plumbline.operators.pieces import carried, is_whole, split_hot
 
 KEYS = ["evidence_id", "field"]
 TRUE_WORDS, FALSE_WORDS = ("true", "t", "yes", "y", "on"), ("false", "f", "no", "n", "off")
@@ -37,17 +40,20 @@ def canonical(df: DataFrame, source: str, target: str) -> DataFrame:
     return df.withColumn(target, F.when(F.col("_text") != "", value)).drop("_text", "_number")
 
 
-def instants(states: DataFrame) -> DataFrame:
-    """``(evidence_id, field, at_us, value, circle, fallback)``: what holds after each
+def instants(states: DataFrame, **hot: int) -> DataFrame:
+    """``(evidence_id, field, piece, at_us, value, circle, fallback)``: what holds after each
     instant; ``circle`` has the values of a chain that ends where it began."""
     rows = states.select(*KEYS, "seq", "timestamp_seconds", "previous_value", "new_value").where(
         "evidence_id is not null and field is not null and timestamp_seconds is not null and not isnan(timestamp_seconds) and new_value is not null"
     )
-    rows = canonical(canonical(rows, "new_value", "new"), "previous_value", "old").where("new is not null")
     rows = rows.withColumn("at_us", F.round(F.col("timestamp_seconds") * 1e6).cast("bigint"))
+    rows = split_hot(rows, KEYS, "at_us", counted=states, **hot).drop("cut", "timestamp_seconds")
+    whole = rows.schema["piece"].metadata
+    rows = rows.repartition(*KEYS, "piece")
     # stored repeats have all of these in common; so have repeats of one statement
-    one = rows.groupBy(*KEYS, "at_us", "seq").agg(F.first("new").alias("new"), F.first("old").alias("old"))
-    chain = one.groupBy(*KEYS, "at_us").agg(F.sort_array(F.collect_list(F.struct("seq", "old", "new"))).alias("chain"))
+    rows = rows.dropDuplicates([*KEYS, "piece", "at_us", "seq"])
+    rows = canonical(canonical(rows, "new_value", "new"), "previous_value", "old").where("new is not null")
+    chain = rows.groupBy(*KEYS, "piece", "at_us").agg(F.sort_array(F.collect_list(F.struct("seq", "old", "new"))).alias("chain"))
     into = F.transform("chain", lambda r: r["new"])
     out_of = F.transform("chain", lambda r: r["old"])
     # the end of the chain is entered once more than it is left
@@ -55,29 +61,30 @@ def instants(states: DataFrame) -> DataFrame:
     last = F.try_element_at("chain", F.lit(-1))["new"]
     single = F.size("chain") == 1
     end = F.when(single, last).otherwise(F.try_element_at(ends, F.lit(-1)))
-    return chain.select(*KEYS, "at_us", end.alias("value"), F.when(~single & (F.size(ends) == 0), F.array_distinct(F.concat(into, F.array_compact(out_of)))).alias("circle"), last.alias("fallback"))
+    circle = F.when(~single & (F.size(ends) == 0), F.array_distinct(F.concat(into, F.array_compact(out_of))))
+    return chain.select(*KEYS, "piece", "at_us", end.alias("value"), circle.alias("circle"), last.alias("fallback")).withMetadata("piece", whole)
 
 
 def attribute_history(states: DataFrame, **hot: int) -> DataFrame:
     """``(evidence_id, field, value, version, valid_from_us, valid_to_us)``, one row per
     version; ``valid_to_us`` is -1 where no version follows."""
-    rows = split_hot(instants(states), KEYS, "at_us", **hot)
+    rows = instants(states, **hot)
+    whole = is_whole(rows)
     rows = carried(rows, KEYS, "at_us", F.col("value"), "held")
     settled = F.when(F.col("circle").isNull(), F.col("value")).when(F.col("held").isNull() | ~F.array_contains("circle", F.col("held")), F.col("fallback"))
     rows = rows.withColumn("value", settled).where("value is not null").select(*KEYS, "at_us", "value", "piece")
-    rows = rows.withColumn("hash", F.xxhash64("value"))
-    rows = carried(rows, KEYS, "at_us", F.col("hash"), "before")
-    # only the rows that start an island are needed further on: at most one per change
-    starts = rows.where(F.col("before").isNull() | (F.col("before") != F.col("hash"))).select(*KEYS, "at_us", "value", "piece")
-    inside = Window.partitionBy(*KEYS, "piece").orderBy("at_us")
-    starts = starts.withColumn("next_us", F.lead("at_us").over(inside)).withColumn("island", F.sum(F.lit(1)).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    firsts = starts.groupBy(*KEYS, "piece").agg(F.min("at_us").alias("first_us"), F.count(F.lit(1)).alias("islands"))
-    across = Window.partitionBy(*KEYS).orderBy("piece")
-    firsts = firsts.withColumn("follow_us", F.lead("first_us").over(across)).withColumn(
-        "islands_before", F.coalesce(F.sum("islands").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
-    out = starts.join(firsts.select(*KEYS, "piece", "follow_us", "islands_before"), [*KEYS, "piece"])
-    return out.select(
-        *KEYS, "value", (F.col("island") + F.col("islands_before")).alias("version"), F.col("at_us").alias("valid_from_us"),
-        F.coalesce("next_us", "follow_us", F.lit(-1)).alias("valid_to_us"),
-    )
+    rows = rows.withColumn("now", F.struct(F.xxhash64("value").alias("hash"), F.col("value").alias("value")))
+    rows = carried(rows, KEYS, "at_us", F.col("now"), "before")
+    changed = F.col("before").isNull() | (F.col("before.hash") != F.col("now.hash")) | (F.col("before.value") != F.col("value"))
+    rows = numbered(rows.withColumn("changed", changed), KEYS, ["at_us"], F.col("changed"), "island")
+    # an island that began in an earlier piece has its row there
+    islands = rows.groupBy(*KEYS, "piece", "island").agg(F.min("at_us").alias("valid_from_us"), F.first("value").alias("value"), F.bool_or("changed").alias("begins")).where("begins")
+    inside = Window.partitionBy(*KEYS, "piece").orderBy("valid_from_us")
+    islands = islands.withColumn("next_us", F.lead("valid_from_us").over(inside))
+    if whole:
+        islands = islands.withColumn("follow_us", F.lit(None).cast("bigint"))
+    else:
+        firsts = islands.groupBy(*KEYS, "piece").agg(F.min("valid_from_us").alias("first_us"))
+        firsts = firsts.select(*KEYS, "piece", F.lead("first_us").over(Window.partitionBy(*KEYS).orderBy("piece")).alias("follow_us"))
+        islands = islands.join(firsts, [*KEYS, "piece"])
+    return islands.select(*KEYS, "value", F.col("island").cast("bigint").alias("version"), "valid_from_us", F.coalesce("next_us", "follow_us", F.lit(-1)).alias("valid_to_us"))

@@ -37,6 +37,8 @@ CASCADE = (
     (rf"^(?:[A-Za-z]{{2,9}},?\s+)?([A-Za-z]{{3,9}})\.?\s+(\d{{1,2}}),?\s+(\d{{4}}),?\s+{_CLOCK}{_ZONE}$", (3, 1, 2, 4, 5, 6, 7, 8, 9)),
 )
 _EPOCH = r"^[0-9]{9,20}$"
+#: What is cut off at both ends of a text.
+BLANKS = " \t\n\v\f\r\x00\u00a0"
 #: Clock changes put a local time back by one of these, in minutes.
 SHIFTS = (60, 30, 120)
 
@@ -54,13 +56,13 @@ def epoch_micros(number: Column) -> Column:
 def parse_local(df: DataFrame, text: str) -> DataFrame:
     """Adds ``local_us`` (the clock reading as if it were UTC), ``zone_min`` (minutes east
     that the text states, else null) and ``told_us`` (an instant that needs no zone)."""
-    t = F.regexp_replace(F.col(text), r"^[\s\x00 ]+|[\s\x00 ]+$", "")
-    df = df.withColumn("_t", t)
-    parts = F.lit(None).cast("string")
-    for pattern, order in reversed(CASCADE):
+    df = df.withColumn("_t", F.btrim(F.col(text), F.lit(BLANKS)))
+    # a text that a pattern fits becomes its parts, one that it doesn't stays as it is
+    df = df.withColumn("_p", F.col("_t"))
+    for pattern, order in CASCADE:
         to = "|".join(f"${g}" if g else "" for g in order)
-        parts = F.when(F.col("_t").rlike(pattern), F.regexp_replace("_t", pattern, to)).otherwise(parts)
-    df = df.withColumn("_p", F.split(parts, r"\|"))
+        df = df.withColumn("_p", F.when(F.col("_p") == F.col("_t"), F.regexp_replace("_t", pattern, to)).otherwise(F.col("_p")))
+    df = df.withColumn("_p", F.when(F.col("_p") != F.col("_t"), F.split("_p", r"\|")))
 
     def part(k: int) -> Column:
         return F.element_at("_p", k + 1)
@@ -76,8 +78,8 @@ def parse_local(df: DataFrame, text: str) -> DataFrame:
     whole = F.try_make_timestamp(number(0), month, number(2), hour, number(4), second.cast("decimal(8,6)"), F.lit("UTC"))
     df = df.withColumn("local_us", F.when(F.col("_p").isNotNull() & (second < 60) & (number(0) >= 1970), F.unix_micros(whole) + micro))
     zone = F.upper(part(8))
-    offset = F.regexp_extract(zone, r"([+-]\d{1,2}):?(\d{2})?$", 1)
-    minutes = F.regexp_extract(zone, r"([+-]\d{1,2}):?(\d{2})?$", 2)
+    offset = F.when(zone.isNull() | (zone == ""), "").otherwise(F.regexp_extract(zone, r"([+-]\d{1,2}):?(\d{2})?$", 1))
+    minutes = F.when(zone.isNull() | (zone == ""), "").otherwise(F.regexp_extract(zone, r"([+-]\d{1,2}):?(\d{2})?$", 2))
     sign = F.when(F.startswith(offset, F.lit("-")), -1).otherwise(1)
     stated = F.expr("try_cast(_o as int)")
     table = F.create_map(*[F.lit(x) for kv in ZONE_MINUTES.items() for x in kv])
@@ -97,35 +99,35 @@ def with_folds(df: DataFrame, zone: str) -> DataFrame:
     # the session's zone plays no part: both functions shift the count of microseconds
     first = F.unix_micros(F.to_utc_timestamp(F.timestamp_micros("local_us"), F.col(zone)))
     df = df.withColumn("first_us", F.when(known, first))
+    # most times are far from a change: two hours on the offset is still the same
+    ahead = max(SHIFTS) * 60_000_000
+    moves = F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(F.col("first_us") + ahead), F.col(zone))) != F.col("local_us") + ahead
     second = F.coalesce(*[
         F.when(F.unix_micros(F.from_utc_timestamp(F.timestamp_micros(F.col("first_us") + s * 60_000_000), F.col(zone))) == F.col("local_us"), F.col("first_us") + s * 60_000_000)
         for s in SHIFTS
     ])
-    return df.withColumn("second_us", second)
+    return df.withColumn("second_us", F.when(moves, second))
 
 
 #: Clocks of neighbouring frames go back by up to so much without a change of the clock.
 JITTER_US = 5_000_000
 
 
-def settle_folds(df: DataFrame, keys: list[str], order: str, counted: DataFrame | None = None, **hot: int) -> DataFrame:
-    """``utc_us`` of records in sequence: from where the clock has gone back within the hour
-    that occurs twice, its readings of that hour are the second of the two. Only ambiguous
-    records are compared."""
-    twice = df.where("second_us is not null")
-    twice = split_hot(twice, keys, order, counted=counted, **hot)
+def settle_folds(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """``utc_us`` of records in sequence, partitioned into pieces by :func:`split_hot`: from
+    where the clock has gone back within the hour that occurs twice, its readings of that hour
+    are the second of the two. Only ambiguous records are compared."""
+    twice = F.col("second_us").isNotNull()
     shift = F.col("second_us") - F.col("first_us")
     # records at one place in the sequence, in the order of their clock
     line = [order, "local_us"]
-    twice = carried(twice, keys, line, F.col("local_us"), "previous_us")
+    df = carried(df, keys, line, F.when(twice, F.col("local_us")), "previous_us")
     fell = F.col("previous_us") - F.col("local_us")
-    twice = twice.withColumn("fell", (fell > JITTER_US) & (fell < shift))
+    df = df.withColumn("fell", F.coalesce(twice & (fell > JITTER_US) & (fell < shift), F.lit(False)))
     # where it last went back; that of another hour is farther off than the shift
-    twice = carried(twice, keys, line, F.when(F.col("fell"), F.col("local_us")), "fell_us")
+    df = carried(df, keys, line, F.when(F.col("fell"), F.col("local_us")), "fell_us")
     back = F.col("fell") | (F.abs(F.col("local_us") - F.col("fell_us")) < shift)
-    twice = twice.withColumn("utc_us", F.when(back, F.col("second_us")).otherwise(F.col("first_us")))
-    rest = df.where("second_us is null").withColumn("utc_us", F.coalesce("told_us", "first_us"))
-    return rest.unionByName(twice.drop("piece", "cut", "previous_us", "fell", "fell_us"))
+    return df.withColumn("utc_us", F.when(twice & back, F.col("second_us")).otherwise(F.coalesce("told_us", "first_us")))
 
 
 def _zones(sources: DataFrame) -> DataFrame:
@@ -144,14 +146,23 @@ def texts_to_utc(records: DataFrame, text: str, source: str, sources: DataFrame)
 
 
 def frame_instants(frames: DataFrame, sources: DataFrame, **hot: int) -> DataFrame:
-    """``(row_no, utc_us)`` of the recorder's clock texts."""
-    rows = frames.select("evidence_id", "video_id", "frame_index", "recorder_id", "device_time", F.col("seq").alias("row_no")).where("row_no is not null")
-    parsed = texts_to_utc(rows, "device_time", "recorder_id", sources)
-    return settle_folds(parsed, ["evidence_id", "video_id"], "frame_index", frames, **hot).select("row_no", "utc_us").where("utc_us is not null")
+    """``(row_no, utc_us)`` of the recorder's clock texts. A frame without log, video or place
+    in it stands alone."""
+    keys = ["evidence_id", "video_id"]
+    alone = F.col("evidence_id").isNull() | F.col("video_id").isNull() | F.col("frame_index").isNull()
+    rows = frames.where("seq is not null and device_time is not null").select(
+        F.coalesce("evidence_id", F.lit("")).alias("evidence_id"), F.when(alone, F.concat(F.lit("seq "), F.col("seq").cast("string"))).otherwise(F.col("video_id")).alias("video_id"),
+        F.coalesce("frame_index", F.lit(0)).alias("frame_index"), "recorder_id", "device_time", F.col("seq").alias("row_no"),
+    )
+    rows = split_hot(rows, keys, "frame_index", counted=frames, **hot).drop("cut")
+    about = rows.schema["piece"].metadata
+    rows = rows.repartition(*keys, "piece").dropDuplicates([*keys, "piece", "row_no"])
+    parsed = texts_to_utc(rows, "device_time", "recorder_id", sources).withMetadata("piece", about)
+    return settle_folds(parsed, keys, "frame_index").select("row_no", "utc_us").where("utc_us is not null")
 
 
 def custody_instants(custody: DataFrame, sources: DataFrame) -> DataFrame:
-    rows = custody.select("station_id", "timestamp_utc", F.col("event_id").alias("row_no")).where("row_no is not null")
+    rows = custody.select("station_id", "timestamp_utc", F.col("event_id").alias("row_no")).where("row_no is not null and timestamp_utc is not null").dropDuplicates(["row_no"])
     parsed = texts_to_utc(rows, "timestamp_utc", "station_id", sources)
     return parsed.select("row_no", F.coalesce("told_us", "first_us").alias("utc_us")).where("utc_us is not null")
 
@@ -160,7 +171,7 @@ def timeline_instants(timeline: DataFrame) -> DataFrame:
     """Counts of microseconds from a boot instant, or since 1970 in any unit."""
     t = F.when(F.col("timestamp_us") > 0, F.col("timestamp_us"))
     utc = F.when(F.col("boot_utc_us").isNotNull(), F.col("boot_utc_us") + t).otherwise(epoch_micros(t))
-    return timeline.select(F.col("seq").alias("row_no"), utc.alias("utc_us")).where("row_no is not null and utc_us is not null")
+    return timeline.select(F.col("seq").alias("row_no"), utc.alias("utc_us")).where("row_no is not null and utc_us is not null").dropDuplicates(["row_no"])
 
 
 def all_instants(frames: DataFrame, custody: DataFrame, timeline: DataFrame, sources: DataFrame) -> DataFrame:
@@ -170,4 +181,4 @@ def all_instants(frames: DataFrame, custody: DataFrame, timeline: DataFrame, sou
         ("telemetry_frames", frame_instants(frames, sources)), ("chain_of_custody", custody_instants(custody, sources)), ("forensic_timeline", timeline_instants(timeline)),
     ]
     out = [df.select(F.lit(n).alias("table_name"), "row_no", "utc_us") for n, df in named]
-    return out[0].unionByName(out[1]).unionByName(out[2]).dropDuplicates(["table_name", "row_no"])
+    return out[0].unionByName(out[1]).unionByName(out[2])

@@ -35,7 +35,7 @@ def test_order_of_frames_settles_times_that_occur_twice(spark):
     rows = [("e", "v", k, "R1", t, 10 + k) for k, t in enumerate(clock)] * 2
     df = spark.createDataFrame(rows, "evidence_id string, video_id string, frame_index int, recorder_id string, device_time string, seq long")
     want = {10: us(2024, 10, 27, 2, 59, 58, zone="Europe/Berlin"), 11: us(2024, 10, 27, 2, 59, 59, zone="Europe/Berlin"), 13: us(2024, 10, 27, 2, 0, 0, zone="Europe/Berlin", fold=1), 14: us(2024, 10, 27, 2, 0, 1, zone="Europe/Berlin", fold=1)}
-    for hot in ({}, {"hot_rows": 2, "pieces": 3}):
+    for hot in ({}, {"hot_rows": 2, "fan": 3}):
         assert {r["row_no"]: r["utc_us"] for r in frame_instants(df, sources(spark), **hot).collect()} == want
 
 
@@ -54,7 +54,7 @@ def test_the_second_hour_lasts_to_its_end_and_starts_at_the_first_fall(spark):
             if fold is not None:
                 want[100 * v + k] = us(*map(int, text.replace("-", " ").replace(":", " ").split()), zone="Europe/Berlin", fold=fold)
     df = spark.createDataFrame(rows * 2, "evidence_id string, video_id string, frame_index int, recorder_id string, device_time string, seq long")
-    for hot in ({}, {"hot_rows": 2, "pieces": 3}):
+    for hot in ({}, {"hot_rows": 2, "fan": 3}):
         assert {r["row_no"]: r["utc_us"] for r in frame_instants(df, sources(spark), **hot).collect()} == want
 
 
