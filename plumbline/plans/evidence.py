@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.functions.numbers import quantised
-from plumbline.operators import changes, indicators, matching, statistics
+from plumbline.functions.clocks import irregular_offset
+from plumbline.operators import changes, indicators, matching, statistics, timestamps
 from plumbline.operators.pieces import sequenced
-from plumbline.plans import flight
+from plumbline.plans import flight, problems
 from plumbline.plans.flight import ACKS, COMMANDS, GPS, STATES, TRAJECTORY, floored
 from plumbline.plans.registry import Registry
 from plumbline.sources import sidecars
@@ -290,13 +291,92 @@ def findings(spark: SparkSession, d: str) -> DataFrame:
 
 
 @REGISTRY.add("indicator_agreement", """
-WITH j AS (SELECT DISTINCT evidence_id FROM gps WHERE jamming_state <> 0 AND evidence_id IS NOT NULL), k AS (SELECT DISTINCT evidence_id FROM gps WHERE spoofing_state <> 0 AND evidence_id IS NOT NULL),
-n AS (SELECT count(CASE WHEN j.evidence_id IS NOT NULL AND k.evidence_id IS NOT NULL THEN 1 END) AS tp, count(CASE WHEN j.evidence_id IS NULL THEN 1 END) AS fp, count(CASE WHEN k.evidence_id IS NULL THEN 1 END) AS fn FROM j FULL JOIN k ON j.evidence_id = k.evidence_id)
-SELECT tp AS true_positives, fp AS false_positives, fn AS false_negatives, coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0.0) AS "precision", coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0.0) AS recall, coalesce(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0.0) AS f1 FROM n""")
+WITH j AS (SELECT DISTINCT evidence_id FROM gps WHERE jamming_state <> 0 AND evidence_id IS NOT NULL), k AS (SELECT DISTINCT evidence_id FROM gps WHERE spoofing_state <> 0 AND evidence_id IS NOT NULL), u AS (SELECT DISTINCT evidence_id FROM gps WHERE evidence_id IS NOT NULL),
+n AS (SELECT count(CASE WHEN j.evidence_id IS NOT NULL AND k.evidence_id IS NOT NULL THEN 1 END) AS tp, count(CASE WHEN j.evidence_id IS NULL AND k.evidence_id IS NOT NULL THEN 1 END) AS fp, count(CASE WHEN k.evidence_id IS NULL AND j.evidence_id IS NOT NULL THEN 1 END) AS fn,
+  count(CASE WHEN j.evidence_id IS NULL AND k.evidence_id IS NULL THEN 1 END) AS tn FROM u LEFT JOIN j ON j.evidence_id = u.evidence_id LEFT JOIN k ON k.evidence_id = u.evidence_id)
+SELECT tp AS true_positives, fp AS false_positives, fn AS false_negatives, tn AS true_negatives, coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0.0) AS "precision", coalesce(tp / nullif(CAST(tp + fn AS DOUBLE), 0), 0.0) AS recall, coalesce(2 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0.0) AS f1,
+  coalesce(fp / nullif(CAST(fp + tn AS DOUBLE), 0), 0.0) AS false_positive_rate FROM n""")
 def indicator_agreement(spark: SparkSession, d: str) -> DataFrame:
-    """How far the logs with a spoofing state are those with a jamming state."""
-    i = flight.gps_state_asserted(spark, d)
-    return statistics.confusion(i.where("indicator = 'GPS_JAMMING_STATE'"), i.where("indicator = 'GPS_SPOOFING_STATE'"), ["evidence_id"])
+    """How far the logs with a spoofing state are those with a jamming state, among all logs."""
+    g = table(spark, d, "gps").where("evidence_id is not null")
+    return statistics.confusion(g.where("jamming_state <> 0"), g.where("spoofing_state <> 0"), ["evidence_id"], g)
+
+
+@REGISTRY.add("receiver_samples", f"""
+WITH {GPS}, u AS (SELECT evidence_id, 'GPS_JAMMING_STATE' AS indicator, seq FROM g WHERE jamming_state <> 0 UNION ALL SELECT evidence_id, 'GPS_SPOOFING_STATE', seq FROM g WHERE spoofing_state <> 0)
+SELECT evidence_id, indicator, seq, CAST(row_number() OVER (PARTITION BY evidence_id, indicator ORDER BY seq) AS INTEGER) AS place FROM u QUALIFY place <= 20""")
+def receiver_samples(spark: SparkSession, d: str) -> DataFrame:
+    """The first twenty records of each log with a jamming or spoofing state."""
+    rows = flight.gps_state_asserted(spark, d).select("evidence_id", "indicator", "seq")
+    return statistics.first_and_last(rows, ["evidence_id", "indicator"], ["seq"], 20)
+
+
+@REGISTRY.add("timeline_ends", f"""
+WITH {_TIMELINE}, te AS (SELECT *, CAST(row_number() OVER (PARTITION BY evidence_id ORDER BY at_us, event_type, seq) AS INTEGER) AS f, CAST(row_number() OVER (PARTITION BY evidence_id ORDER BY at_us DESC, event_type DESC, seq DESC) AS INTEGER) AS l FROM e)
+SELECT evidence_id, at_us, seq, event_type, f AS place FROM te WHERE f <= 10 UNION ALL SELECT evidence_id, at_us, seq, event_type, -l FROM te WHERE l <= 10""")
+def timeline_ends(spark: SparkSession, d: str) -> DataFrame:
+    """The first and last ten events of each log."""
+    rows = _timeline(spark, d).select("evidence_id", "at_us", "seq", "event_type")
+    return statistics.first_and_last(rows, ["evidence_id"], ["at_us", "event_type", "seq"], 10, 10)
+
+
+@REGISTRY.add("initial_states", f"""
+WITH {STATES} SELECT evidence_id, field, arg_min(seq, (timestamp_us, seq)) AS seq, min(timestamp_us) AS at_us, arg_min({{'v': new_value}}, (timestamp_us, seq)).v AS value FROM s WHERE timestamp_us IS NOT NULL GROUP BY evidence_id, field""")
+def initial_states(spark: SparkSession, d: str) -> DataFrame:
+    """The first record of each state field of each log, with what it holds, null included."""
+    s = table(spark, d, "state_reconstruction").where("evidence_id is not null and field is not null and timestamp_us is not null")
+    first = F.min(F.struct("timestamp_us", "seq", "new_value"))
+    return s.groupBy("evidence_id", "field").agg(first.alias("r")).select("evidence_id", "field", F.col("r.seq").alias("seq"), F.col("r.timestamp_us").alias("at_us"), F.col("r.new_value").alias("value"))
+
+
+# Names of commands.
+COMMAND_NAMES = {211: "VEHICLE_CMD_DO_GRIPPER", 512: "VEHICLE_CMD_REQUEST_MESSAGE", 521: "VEHICLE_CMD_REQUEST_CAMERA_INFORMATION"}
+
+
+@REGISTRY.add("command_names", f"""
+WITH {COMMANDS} SELECT command_id, CASE command_id WHEN 211 THEN 'VEHICLE_CMD_DO_GRIPPER' WHEN 512 THEN 'VEHICLE_CMD_REQUEST_MESSAGE' WHEN 521 THEN 'VEHICLE_CMD_REQUEST_CAMERA_INFORMATION' ELSE 'UNKNOWN_COMMAND_' || CAST(command_id AS VARCHAR) END AS name,
+  count(*) AS commands, count(DISTINCT evidence_id) AS logs FROM c WHERE command_id IS NOT NULL GROUP BY command_id""")
+def command_names(spark: SparkSession, d: str) -> DataFrame:
+    """Commands by id and name; ids without a name have one made of the id."""
+    c = matching.sides(*_commands(spark, d))[0].where("command_id is not null")
+    names = F.create_map(*[F.lit(x) for kv in COMMAND_NAMES.items() for x in kv])
+    name = F.coalesce(F.try_element_at(names, F.col("command_id")), F.concat(F.lit("UNKNOWN_COMMAND_"), F.col("command_id").cast("string")))
+    return c.groupBy("command_id", name.alias("name")).agg(F.count(F.lit(1)).alias("commands"), F.count_distinct("evidence_id").alias("logs"))
+
+
+_FRAME_TIMES = f"""f AS (SELECT DISTINCT evidence_id, video_id, seq, latitude, longitude, log_offset_s + start_s AS log_s FROM telemetry_frames WHERE evidence_id IS NOT NULL AND video_id IS NOT NULL AND seq IS NOT NULL),
+u AS (SELECT row_no, utc_us FROM ({problems.instants_sql()}) WHERE table_name = 'telemetry_frames'), j AS (SELECT f.*, u.utc_us, latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND NOT (latitude = 0 AND longitude = 0) AS ok FROM f LEFT JOIN u ON u.row_no = f.seq)"""
+
+
+def _frame_times(spark: SparkSession, d: str) -> DataFrame:
+    f = once(table(spark, d, "telemetry_frames").where("evidence_id is not null and video_id is not null and seq is not null"), "seq")
+    utc = timestamps.frame_instants(table(spark, d, "telemetry_frames"), table(spark, d, "clock_sources"))
+    return f.join(utc, F.col("seq") == F.col("row_no"), "left").withColumns({"ok": sidecars.valid(F.col("latitude"), F.col("longitude")), "log_s": F.col("log_offset_s") + F.col("start_s")})
+
+
+@REGISTRY.add("frame_positions", f"WITH {_FRAME_TIMES} SELECT evidence_id, video_id, seq, utc_us, latitude, longitude FROM j WHERE ok AND utc_us IS NOT NULL")
+def frame_positions(spark: SparkSession, d: str) -> DataFrame:
+    """Positions of video frames as records of a receiver, where the frame's instant is known."""
+    return _frame_times(spark, d).where("ok and utc_us is not null").select("evidence_id", "video_id", "seq", "utc_us", "latitude", "longitude")
+
+
+@REGISTRY.add("frame_position_counts", f"""
+WITH {_FRAME_TIMES} SELECT evidence_id, video_id, count(*) AS frames, CAST(count_if(ok) AS BIGINT) AS positions, CAST(count_if(ok AND utc_us IS NULL) AS BIGINT) AS skipped_without_utc FROM j GROUP BY evidence_id, video_id""")
+def frame_position_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Frames of each video, those with a position, and of these those without an instant."""
+    return _frame_times(spark, d).groupBy("evidence_id", "video_id").agg(F.count(F.lit(1)).alias("frames"), F.count_if("ok").alias("positions"), F.count_if(F.col("ok") & F.col("utc_us").isNull()).alias("skipped_without_utc"))
+
+
+@REGISTRY.add("clock_offsets", f"""
+WITH {_FRAME_TIMES}, o AS (SELECT *, floor(utc_us / 1000000.0 - log_s + 0.5) AS off FROM j WHERE utc_us IS NOT NULL AND log_s >= 1e9),
+p AS (SELECT *, off - 900.0 * floor(off / 900.0) AS rest FROM o)
+SELECT evidence_id, video_id, count(*) AS frames, CAST(min(off) AS BIGINT) AS least_s, CAST(max(off) AS BIGINT) AS greatest_s, CAST(count_if(least(rest, 900.0 - rest) > 60 OR abs(off) > 50400) AS BIGINT) AS irregular FROM p GROUP BY evidence_id, video_id""")
+def clock_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """By how many seconds the recorder's clock is ahead of the log's, in logs that count from
+    1970, and how many frames have an offset that no time zone explains."""
+    off = F.floor(F.col("utc_us") / 1_000_000.0 - F.col("log_s") + 0.5)
+    o = _frame_times(spark, d).where("utc_us is not null and log_s >= 1e9").select("evidence_id", "video_id", off.cast("bigint").alias("off"))
+    return o.groupBy("evidence_id", "video_id").agg(F.count(F.lit(1)).alias("frames"), F.min("off").alias("least_s"), F.max("off").alias("greatest_s"), F.count_if(irregular_offset(F.col("off"))).alias("irregular"))
 
 
 # --- statistics of tables ------------------------------------------------------------------

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from plumbline.functions.numbers import quantised
 from plumbline.operators import grid, history, nearest, spikes, timestamps, trips
 from plumbline.plans.registry import Registry
 from plumbline.sources.tables import table
@@ -11,7 +12,7 @@ from plumbline.sources.tables import table
 REGISTRY = Registry()
 
 
-def _instants_sql() -> str:
+def instants_sql() -> str:
     """The cascade of patterns is the operator's; what is done with its parts is SQL."""
     match, fill = [], []
     for pattern, order in timestamps.CASCADE:
@@ -70,7 +71,7 @@ def p1_history(spark: SparkSession, d: str) -> DataFrame:
     return history.attribute_history(table(spark, d, "state_reconstruction"))
 
 
-@REGISTRY.add("p2_found", _instants_sql())
+@REGISTRY.add("p2_found", instants_sql())
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return timestamps.all_instants(*(table(spark, d, t) for t in ("telemetry_frames", "chain_of_custody", "forensic_timeline", "clock_sources")))
 
@@ -114,10 +115,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return grid.regular_grid(table(spark, d, "trajectory")).where("state <> 'observed'").select("evidence_id", "field", "slot")
 
 
-@REGISTRY.add("p5_grid")
+@REGISTRY.add("p5_grid", """
+WITH r AS (SELECT DISTINCT evidence_id, seq, "timestamp" AS ts, CAST(floor("timestamp") AS BIGINT) AS slot, CASE WHEN position_valid THEN x_m END AS x, CASE WHEN velocity_valid THEN vx_m_s END AS v FROM trajectory WHERE evidence_id IS NOT NULL AND "timestamp" IS NOT NULL),
+g AS (SELECT evidence_id, unnest(generate_series(min(slot), max(slot))) AS slot FROM r GROUP BY evidence_id),
+p AS (SELECT evidence_id, seq, ts, slot, 'x_m' AS field, x AS y FROM r WHERE x IS NOT NULL UNION ALL SELECT evidence_id, seq, ts, slot, 'vx_m_s', v FROM r WHERE v IS NOT NULL),
+m AS (SELECT evidence_id, field, slot, avg(y) AS y FROM p GROUP BY ALL), a AS (SELECT evidence_id, field, ts, slot, arg_max(y, seq) AS y FROM p GROUP BY ALL), z AS (SELECT evidence_id, field, ts, arg_min(y, seq) AS y FROM p GROUP BY ALL),
+q AS (SELECT g.evidence_id, f.field, g.slot, CAST(g.slot AS DOUBLE) AS low, CAST(g.slot + 1 AS DOUBLE) AS high, m.y AS own FROM g CROSS JOIN (VALUES ('x_m'), ('vx_m_s')) f(field) LEFT JOIN m ON m.evidence_id = g.evidence_id AND m.field = f.field AND m.slot = g.slot),
+l AS (SELECT q.*, a.ts AS lt, a.y AS ly FROM q ASOF LEFT JOIN a ON a.evidence_id = q.evidence_id AND a.field = q.field AND q.low > a.ts),
+b AS (SELECT l.*, z.ts AS rt, z.y AS ry FROM l ASOF LEFT JOIN z ON z.evidence_id = l.evidence_id AND z.field = l.field AND l.high <= z.ts)
+SELECT evidence_id, field, slot, floor(coalesce(own, CASE WHEN rt - lt <= 10 THEN ly + (ry - ly) * (slot + 0.5 - lt) / (rt - lt) END) * 1e7 + 0.5) / 1e7 AS value, CASE WHEN own IS NOT NULL THEN 'observed' WHEN rt - lt <= 10 THEN 'interpolated' ELSE 'missing' END AS state FROM b""")
 def p5_grid(spark: SparkSession, d: str) -> DataFrame:
     """The whole series, one value per second."""
-    return grid.regular_grid(table(spark, d, "trajectory"))
+    return grid.regular_grid(table(spark, d, "trajectory")).withColumn("value", quantised(F.col("value"), 7))
 
 
 @REGISTRY.add("p6_found")

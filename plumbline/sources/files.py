@@ -52,3 +52,12 @@ def write_report(df: DataFrame, path: str, form: str = "json", by: list[str] | N
     out = (json_safe(df) if form == "json" else df).write.mode("errorifexists")
     out = out.option("header", "true") if form == "csv" else out
     (out.partitionBy(*by) if by else out).format(form).save(path)
+
+
+def write_manifest(spark: SparkSession, path: str) -> str:
+    """Beside a written result, ``<path>.sha256`` with the hash and name of each of its files, as
+    hashing tools write and check them; gives that path."""
+    files = evidence_files(spark, path).where(~F.col("path").rlike(r"/[._][^/]*$"))
+    out = path.rstrip("/") + ".sha256"
+    files.select(F.concat_ws("  ", "sha256", F.regexp_extract("path", r"[^/]+$", 0))).write.mode("errorifexists").text(out)
+    return out
