@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.operators.pieces import BROADCAST_GROUPS, floats, is_whole, sorted_groups, split_hot
+from plumbline.operators.written import written
 
 METRES_PER_DEGREE = 111_320.0
 
@@ -387,7 +388,8 @@ def with_surroundings(cut: DataFrame, rules: dict[str, SpikeRule]) -> DataFrame:
                 }))
         return pa.concat_tables(parts)
 
-    rows = sorted_groups(cut.where("cut").select("evidence_id", "piece", "timestamp", "seq", *names), ["evidence_id", "piece"], ["timestamp", "seq"], rims, ", ".join(rim))
+    # some thousand rows a piece, used twice
+    rows = written(sorted_groups(cut.where("cut").select("evidence_id", "piece", "timestamp", "seq", *names), ["evidence_id", "piece"], ["timestamp", "seq"], rims, ", ".join(rim)))
     # up to this piece (or from it on) there are so many readings; the piece farthest off that
     # still sees some of it is the first with fewer than SURROUNDINGS in between
     sizes = rows.groupBy("evidence_id", "field", "side", "piece").agg(F.count(F.lit(1)).alias("n"))

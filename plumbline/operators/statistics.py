@@ -119,7 +119,7 @@ def bootstrap_interval(per_group: DataFrame, value: str, samples: int = 2_000, s
         p /= k
         total += p
     drawn = rows.select("id", "v", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample")).select("v", "sample", u.alias("u")).withColumn("n", copies)
-    means = drawn.groupBy("sample").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n") / 1e6).alias("m"))
+    means = drawn.groupBy("sample").agg((F.try_divide(F.sum(F.col("v") * F.col("n")), F.sum("n")) / 1e6).alias("m"))
     bounds = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("b")).withColumn("_one", F.lit(1))
     # one row each
     whole = rows.agg(F.count(F.lit(1)).alias("groups"), (F.sum("v") / F.count("v") / 1e6).alias("mean")).withColumn("_one", F.lit(1))
@@ -137,7 +137,7 @@ def over_runs(metrics: DataFrame) -> DataFrame:
     runs = rows.groupBy("model", "run").agg(whole("v").alias("m")).groupBy("model").agg(F.count(F.lit(1)).alias("runs"), F.sum("m").alias("_s"), F.sum((F.col("m").cast("decimal(19,0)") * F.col("m").cast("decimal(19,0)")).cast("decimal(38,0)")).alias("_q"))
     n, s, q = F.col("runs").cast("double"), F.col("_s").cast("double"), F.col("_q").cast("double")
     spread = F.when(F.col("runs") > 1, F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0))) / 1e6)
-    return flights.join(runs.select("model", "runs", spread.alias("deviation_m")), "model").select("model", "flights", "runs", "macro_m", "deviation_m")
+    return flights.join(runs.select("model", "runs", quantised(spread, 6).alias("deviation_m")), "model").select("model", "flights", "runs", "macro_m", "deviation_m")
 
 
 def paired(metrics: DataFrame, one: str, other: str) -> DataFrame:

@@ -423,7 +423,7 @@ def forecast_predictor(spark: SparkSession, d: str) -> DataFrame:
 WITH {_PARTS}, v AS (SELECT *, CAST(floor("value" * 1e6 + 0.5) AS BIGINT) AS v FROM fm),
 a AS (SELECT model, flight, CAST(floor(CAST(sum(v) AS DOUBLE) / count(*) + 0.5) AS BIGINT) AS m FROM v GROUP BY model, flight), b AS (SELECT model, count(*) AS flights, CAST(sum(m) AS DOUBLE) / count(*) / 1e6 AS macro_m FROM a GROUP BY model),
 c AS (SELECT model, run, CAST(floor(CAST(sum(v) AS DOUBLE) / count(*) + 0.5) AS BIGINT) AS m FROM v GROUP BY model, run), x AS (SELECT model, count(*) AS runs, CAST(count(*) AS DOUBLE) AS n, CAST(sum(m) AS DOUBLE) AS s, CAST(sum(CAST(m AS HUGEINT) * m) AS DOUBLE) AS q FROM c GROUP BY model)
-SELECT model, flights, runs, macro_m, CASE WHEN runs > 1 THEN sqrt(greatest((q - s * s / n) / (n - 1), 0.0)) / 1e6 END AS deviation_m FROM b JOIN x USING (model)""")
+SELECT model, flights, runs, macro_m, CASE WHEN runs > 1 THEN {floored('sqrt(greatest((q - s * s / n) / (n - 1), 0.0)) / 1e6')} END AS deviation_m FROM b JOIN x USING (model)""")
 def forecast_runs(spark: SparkSession, d: str) -> DataFrame:
     """The three parts of time as runs: mean over logs of their means over runs, and how much
     the runs differ."""

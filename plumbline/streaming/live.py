@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -52,19 +53,21 @@ def state_changes(stream: DataFrame, late: str = "10 minutes", idle_ms: int = 3_
             state.remove()
             return
         value, seen = state.get if state.exists else (None, None)
-        out = []
+        parts = []
         for f in frames:
-            for at, new in f.dropna(subset=["value"]).sort_values("at", kind="stable")[["at", "value"]].itertuples(index=False):
-                us = int(at.value // 1000)
-                if seen is not None and us < seen:
-                    continue
-                if value is not None and new != value:
-                    out.append((*key, at, value, new))
-                value, seen = new, us
+            rows = f.dropna(subset=["value"]).sort_values("at", kind="stable")
+            us = rows["at"].astype("datetime64[us]").astype("int64")
+            rows = rows if seen is None else rows[us >= seen]
+            if not len(rows):
+                continue
+            before = rows["value"].shift().where(np.arange(len(rows)) > 0, value)
+            moved = before.notna() & (rows["value"] != before)
+            parts.append(pd.DataFrame({"evidence_id": key[0], "field": key[1], "at": rows["at"][moved], "previous_value": before[moved], "new_value": rows["value"][moved]}))
+            value, seen = rows["value"].iloc[-1], int(us.max() if seen is None else max(seen, us.max()))
         if value is not None:
             state.update((value, seen))
             state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(out, columns=["evidence_id", "field", "at", "previous_value", "new_value"])
+        yield pd.concat(parts) if parts else pd.DataFrame(columns=["evidence_id", "field", "at", "previous_value", "new_value"])
 
     rows = stream.select("evidence_id", "field", "at", "value").where("evidence_id is not null and field is not null and at is not null")
     return rows.withWatermark("at", late).groupBy("evidence_id", "field").applyInPandasWithState(step, CHANGE, "value string, seen long", "append", GroupStateTimeout.ProcessingTimeTimeout)

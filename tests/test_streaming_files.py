@@ -43,8 +43,12 @@ def test_files_and_reports(spark, tmp_path):
     (d / "e.bin").write_bytes(b"")
     got = {Path(r["path"]).name: (r["kind"], r["extension_matches"]) for r in files.evidence_files(spark, str(d)).collect()}
     assert got["a.jpg"] == ("JPEG", True) and got["b.png"] == (None, None) and got["c.srt"] == ("SRT", True) and "e.bin" not in got
-    f = sorted((r["start_s"], r["latitude"], r["longitude"], r["altitude_m"], r["barometer_m"], r["iso"]) for r in sidecars.frames(files.sidecar_files(spark, str(d))).collect())
-    assert f == [(1.0, 47.25, 8.5, 500.0, 12.5, 100.0), (2.0, None, None, 1.0, None, None)]
+    # the pair may be either way round, so it gives no position unless the caller knows the order
+    cues = lambda **k: [(r["start_s"], r["latitude"], r["longitude"], r["third"], r["barometric_height_m"], r["iso"], r["axis_order"]) for r in sidecars.frames(files.sidecar_files(spark, str(d)), **k).orderBy("frame").collect()]
+    assert cues() == [(1.0, None, None, "500", 12.5, 100.0, "ambiguous"), (2.0, None, None, "1", None, None, "ambiguous"), (None, None, None, None, None, None, "ambiguous")]
+    assert cues(order="lon_lat")[0][:3] == (1.0, 47.25, 8.5) and cues(order="lon_lat")[1][1] is None
+    manifest = files.write_manifest(spark, str(d))
+    assert sum(len(p.read_text().splitlines()) for p in Path(manifest).glob("part-*")) == 3
     files.write_report(spark.createDataFrame([("a", float("nan")), ("b", 1.0)], "k string, v double"), str(tmp_path / "out"))
     lines = [json.loads(x) for p in (tmp_path / "out").glob("*.json") for x in p.read_text().splitlines()]
     assert sorted((x["k"], x.get("v")) for x in lines) == [("a", None), ("b", 1.0)]
