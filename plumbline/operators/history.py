@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.operators.changes import numbered
-from plumbline.operators.pieces import carried, is_whole, split_hot
+from plumbline.operators.pieces import carried, is_whole, piece_keys, split_hot
 
 KEYS = ["evidence_id", "field"]
 TRUE_WORDS, FALSE_WORDS = ("true", "t", "yes", "y", "on"), ("false", "f", "no", "n", "off")
@@ -48,12 +48,13 @@ def instants(states: DataFrame, **hot: int) -> DataFrame:
     )
     rows = rows.withColumn("at_us", F.round(F.col("timestamp_seconds") * 1e6).cast("bigint"))
     rows = split_hot(rows, KEYS, "at_us", counted=states, **hot).drop("cut", "timestamp_seconds")
-    whole = rows.schema["piece"].metadata
-    rows = rows.repartition(*KEYS, "piece")
+    about, at = rows.schema["piece"].metadata, piece_keys(rows, KEYS)
+    piece = F.col("piece") if "piece" in at else F.lit(0).alias("piece")
+    rows = rows.repartition(*at)
     # stored repeats have all of these in common; so have repeats of one statement
-    rows = rows.dropDuplicates([*KEYS, "piece", "at_us", "seq"])
+    rows = rows.dropDuplicates([*at, "at_us", "seq"])
     rows = canonical(canonical(rows, "new_value", "new"), "previous_value", "old").where("new is not null")
-    chain = rows.groupBy(*KEYS, "piece", "at_us").agg(F.sort_array(F.collect_list(F.struct("seq", "old", "new"))).alias("chain"))
+    chain = rows.groupBy(*at, "at_us").agg(F.sort_array(F.collect_list(F.struct("seq", "old", "new"))).alias("chain"))
     into = F.transform("chain", lambda r: r["new"])
     out_of = F.transform("chain", lambda r: r["old"])
     # the end of the chain is entered once more than it is left
@@ -62,14 +63,14 @@ def instants(states: DataFrame, **hot: int) -> DataFrame:
     single = F.size("chain") == 1
     end = F.when(single, last).otherwise(F.try_element_at(ends, F.lit(-1)))
     circle = F.when(~single & (F.size(ends) == 0), F.array_distinct(F.concat(into, F.array_compact(out_of))))
-    return chain.select(*KEYS, "piece", "at_us", end.alias("value"), circle.alias("circle"), last.alias("fallback")).withMetadata("piece", whole)
+    return chain.select(*KEYS, piece, "at_us", end.alias("value"), circle.alias("circle"), last.alias("fallback")).withMetadata("piece", about)
 
 
 def attribute_history(states: DataFrame, **hot: int) -> DataFrame:
     """``(evidence_id, field, value, version, valid_from_us, valid_to_us)``, one row per
     version; ``valid_to_us`` is -1 where no version follows."""
     rows = instants(states, **hot)
-    whole = is_whole(rows)
+    whole, at = is_whole(rows), piece_keys(rows, KEYS)
     rows = carried(rows, KEYS, "at_us", F.col("value"), "held")
     settled = F.when(F.col("circle").isNull(), F.col("value")).when(F.col("held").isNull() | ~F.array_contains("circle", F.col("held")), F.col("fallback"))
     rows = rows.withColumn("value", settled).where("value is not null").select(*KEYS, "at_us", "value", "piece")
@@ -78,8 +79,8 @@ def attribute_history(states: DataFrame, **hot: int) -> DataFrame:
     changed = F.col("before").isNull() | (F.col("before.hash") != F.col("now.hash")) | (F.col("before.value") != F.col("value"))
     rows = numbered(rows.withColumn("changed", changed), KEYS, ["at_us"], F.col("changed"), "island")
     # an island that began in an earlier piece has its row there
-    islands = rows.groupBy(*KEYS, "piece", "island").agg(F.min("at_us").alias("valid_from_us"), F.first("value").alias("value"), F.bool_or("changed").alias("begins")).where("begins")
-    inside = Window.partitionBy(*KEYS, "piece").orderBy("valid_from_us")
+    islands = rows.groupBy(*at, "island").agg(F.min("at_us").alias("valid_from_us"), F.first("value").alias("value"), F.bool_or("changed").alias("begins")).where("begins")
+    inside = Window.partitionBy(*at).orderBy("valid_from_us")
     islands = islands.withColumn("next_us", F.lead("valid_from_us").over(inside))
     if whole:
         islands = islands.withColumn("follow_us", F.lit(None).cast("bigint"))

@@ -127,14 +127,17 @@ def state_indicators(flags: DataFrame) -> DataFrame:
     return turned.unionByName(lost)
 
 
-def quality_indicators(logs: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """Logs that have no record at all in a table; ``tables`` maps each kind to it."""
-    out = None
-    for kind, table in tables.items():
-        nothing = F.lit(None)
-        rows = logs.join(table.select("evidence_id").distinct(), "evidence_id", "left_anti").select("evidence_id", _row(kind, kind, nothing, nothing).alias("r"))
-        out = rows if out is None else out.unionByName(rows)
-    return out.select("evidence_id", "r.*").withColumn("source", F.lit(None).cast("string"))
+def quality_indicators(tables: dict[str, DataFrame], kinds: dict[str, str]) -> DataFrame:
+    """Logs that occur in one of the tables and have no record at all in another; ``kinds`` maps
+    each kind to its table. One pass over the logs' names."""
+    names = None
+    for name, table in tables.items():
+        rows = table.select("evidence_id", F.lit(name).alias("table")).where("evidence_id is not null")
+        names = rows if names is None else names.unionByName(rows)
+    seen = names.groupBy("evidence_id").agg(*[F.max(F.col("table") == t).alias(k) for k, t in kinds.items()])
+    nothing = F.lit(None)
+    lacking = F.array_compact(F.array(*[F.when(~F.col(k), _row(k, "", nothing, nothing)) for k in kinds]))
+    return seen.select("evidence_id", F.explode(lacking).alias("r")).select("evidence_id", "r.*").withColumn("source", F.lit(None).cast("string"))
 
 
 def described(rows: DataFrame) -> DataFrame:

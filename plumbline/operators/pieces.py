@@ -87,6 +87,12 @@ def is_whole(df: DataFrame) -> bool:
     return bool(df.schema["piece"].metadata.get("whole"))
 
 
+def piece_keys(df: DataFrame, keys: list[str]) -> list[str]:
+    """The columns that pieces are partitioned by. Where nothing is cut these are the keys
+    alone: as a constant, ``piece`` would make the planner shuffle again for each grouping."""
+    return list(keys) if is_whole(df) else [*keys, "piece"]
+
+
 def _changes(t: pa.Table, keys: list[str]) -> np.ndarray:
     """Where a row's keys differ from those of the row before (False for the first row)."""
     out = np.zeros(len(t), bool)
@@ -177,4 +183,5 @@ def sequenced(df: DataFrame, keys: list[str], order: str, seq: str = "seq", **ho
     into pieces, and partitioned so that windows on keys and piece need no shuffle."""
     rows = df.where(" and ".join(f"{k} is not null" for k in [*keys, order]))
     cut = split_hot(rows, keys, order, **hot).drop("cut")
-    return cut.repartition(*keys, "piece").dropDuplicates([*keys, "piece", seq])
+    at = piece_keys(cut, keys)
+    return cut.repartition(*at).dropDuplicates([*at, seq])

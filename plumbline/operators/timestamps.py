@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from plumbline.operators.pieces import carried, split_hot
+from plumbline.operators.pieces import carried, piece_keys, split_hot
 
 # Minutes east of UTC of zone abbreviations.
 ZONE_MINUTES = {
@@ -155,8 +155,8 @@ def frame_instants(frames: DataFrame, sources: DataFrame, **hot: int) -> DataFra
         F.coalesce("frame_index", F.lit(0)).alias("frame_index"), "recorder_id", "device_time", F.col("seq").alias("row_no"),
     )
     rows = split_hot(rows, keys, "frame_index", counted=frames, **hot).drop("cut")
-    about = rows.schema["piece"].metadata
-    rows = rows.repartition(*keys, "piece").dropDuplicates([*keys, "piece", "row_no"])
+    about, at = rows.schema["piece"].metadata, piece_keys(rows, keys)
+    rows = rows.repartition(*at).dropDuplicates([*at, "row_no"])
     parsed = texts_to_utc(rows, "device_time", "recorder_id", sources).withMetadata("piece", about)
     return settle_folds(parsed, keys, "frame_index").select("row_no", "utc_us").where("utc_us is not null")
 

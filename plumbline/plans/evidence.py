@@ -248,16 +248,12 @@ def _indicators(spark: SparkSession, d: str) -> DataFrame:
     flag = F.when(F.col("field") == "arming_state", F.expr("try_cast(new_value as double)") == 2).when(text.isin("true", "1", "1.0"), True).when(text.isin("false", "0", "0.0"), False)
     states = of["state_reconstruction"].where(F.col("field").isin(*indicators.STATE_KINDS)).select("evidence_id", "field", "seq", "timestamp_us", flag.alias("flag"))
     commands = matching.sides(of["commands"], of["command_acks"])[0]
-    logs = None
-    for t in of.values():
-        rows = t.select("evidence_id").where("evidence_id is not null")
-        logs = rows if logs is None else logs.unionByName(rows)
     parts = (
         indicators.receiver_indicators(gps),
         indicators.validity_indicators(valid, of["gps"].select("evidence_id").distinct()),
         indicators.command_indicators(matching.commands_without_ack(of["commands"], of["command_acks"], WINDOW), matching.acks_without_command(of["commands"], of["command_acks"], WINDOW), matching.repeated(commands)),
         indicators.state_indicators(sequenced(states, ["evidence_id", "field"], "timestamp_us")),
-        indicators.quality_indicators(logs.distinct(), {"NO_GPS_RECORDS": of["gps"], "NO_STATE_RECORDS": of["state_reconstruction"], "NO_COMMAND_RECORDS": of["commands"]}),
+        indicators.quality_indicators(of, {"NO_GPS_RECORDS": "gps", "NO_STATE_RECORDS": "state_reconstruction", "NO_COMMAND_RECORDS": "commands"}),
     )
     out = parts[0]
     for p in parts[1:]:

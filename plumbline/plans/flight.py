@@ -157,6 +157,19 @@ _policy("state_transitions", "value", "", "n > 1 AND previous_value IS DISTINCT
 _policy("state_departures", "held", "", "previous_value IS NOT NULL AND previous_value IS DISTINCT FROM value")
 _policy("state_neighbours", "both", "", "previous_value <> value")
 
+
+
+@REGISTRY.add("state_change_sets", f"""
+WITH {_STATE_ROWS}, w AS (SELECT evidence_id, field, seq, timestamp_us, value, {_STATE_LAG} FROM v)
+SELECT evidence_id, timestamp_us AS at_us, count(*) AS fields, string_agg(field || ': ' || previous_value || ' -> ' || value, ', ' ORDER BY field, seq) AS changes FROM w WHERE previous_value <> value GROUP BY evidence_id, timestamp_us""")
+def state_change_sets(spark: SparkSession, d: str) -> DataFrame:
+    """What changed at each instant of a log, all fields together, where both values are known."""
+    rows = changes.changes(_states(spark, d), FIELD, ["timestamp_us", "seq"], "value", "both")
+    text = F.concat(F.col("field"), F.lit(": "), F.col("previous_value"), F.lit(" -> "), F.col("value"))
+    sets = rows.groupBy("evidence_id", F.col("timestamp_us").alias("at_us")).agg(F.count(F.lit(1)).alias("fields"), F.sort_array(F.collect_list(F.struct("field", "seq", text.alias("text")))).alias("r"))
+    return sets.select("evidence_id", "at_us", "fields", F.array_join(F.transform("r", lambda x: x["text"]), ", ").alias("changes"))
+
+
 _CODES = ", ".join(f"'{c}'" for c in CODE_FIELDS)
 _FLAGS = f"""{STATES}, f AS (SELECT evidence_id, field, seq, timestamp_us, CASE WHEN lower(trim(new_value)) IN ('true', '1', '1.0') THEN true WHEN lower(trim(new_value)) IN ('false', '0', '0.0') THEN false END AS flag
   FROM s WHERE timestamp_us IS NOT NULL AND field NOT IN ({_CODES}))"""
