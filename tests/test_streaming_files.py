@@ -54,3 +54,11 @@ def test_files_and_reports(spark, tmp_path):
     assert sorted((x["k"], x.get("v")) for x in lines) == [("a", None), ("b", 1.0)]
     with pytest.raises(ValueError):
         files.write_report(spark.range(1), str(tmp_path / "x"), "xml")
+
+
+def test_intermediate_tables_are_cleared(spark):
+    from plumbline.operators.written import clear_written, written
+
+    clear_written(spark)
+    t = written(spark.range(3))
+    assert t.count() == 3 and clear_written(spark) == 1 and clear_written(spark) == 0
