@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from plumbline.functions.numbers import quantised
 from plumbline.functions.clocks import irregular_offset
 from plumbline.operators import changes, indicators, matching, statistics, timestamps
 from plumbline.operators.pieces import sequenced
 from plumbline.plans import flight, problems
-from plumbline.plans.flight import ACKS, COMMANDS, GPS, STATES, TRAJECTORY, floored
+from plumbline.plans.flight import ACKS, COMMANDS, GPS, STATES, TRAJECTORY
 from plumbline.plans.registry import Registry
 from plumbline.sources import sidecars
 from plumbline.sources.tables import once, table

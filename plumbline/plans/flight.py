@@ -203,6 +203,16 @@ def flag_intervals(spark: SparkSession, d: str) -> DataFrame:
     return changes.flag_intervals(_flags(spark, d), FIELD, ["timestamp_us", "seq"], "flag", "timestamp_us").drop("first_seq")
 
 
+@REGISTRY.add("flag_severities", f"""
+WITH {_FLAGS}, w AS (SELECT *, lag(flag) OVER (PARTITION BY evidence_id, field ORDER BY timestamp_us, seq) AS before FROM f WHERE flag IS NOT NULL)
+SELECT field, CASE field WHEN 'gcs_connection_lost' THEN 'MEDIUM' ELSE 'LOW' END AS severity, CAST(count_if(flag AND NOT coalesce(before, false)) AS BIGINT) AS intervals, CAST(count_if(flag) AS BIGINT) AS samples FROM w GROUP BY field HAVING count_if(flag) > 0""")
+def flag_severities(spark: SparkSession, d: str) -> DataFrame:
+    """Periods in which each flag held, with how much it matters; of the flags of the tables one
+    is of medium weight, the others are low."""
+    i = flag_intervals(spark, d)
+    return i.groupBy("field", indicators.flag_severity(F.col("field")).alias("severity")).agg(F.count(F.lit(1)).alias("intervals"), F.sum("samples").alias("samples"))
+
+
 @REGISTRY.add("flag_counts", f"""
 WITH {_FLAGS} SELECT field, CAST(count_if(flag) AS BIGINT) AS asserted, CAST(count_if(NOT flag) AS BIGINT) AS clear, count(*) - count(flag) AS unknown FROM f GROUP BY field""")
 def flag_counts(spark: SparkSession, d: str) -> DataFrame:

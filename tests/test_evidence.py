@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators import changes, indicators, matching
 from plumbline.operators.pieces import sequenced
@@ -105,3 +106,9 @@ def test_fields_of_a_cue(spark):
     assert (r["distance_from_home_m"], r["height_m"], r["horizontal_speed_m_s"], r["vertical_speed_m_s"], r["aircraft_yaw"], r["gimbal_pitch"]) == (24.26, 6.0, 2.1, -0.5, 3.0, -4.0)
     stated = sidecars.frames(docs, order="lon_lat").head()
     assert stated["latitude"] is None and stated["axis_order"] == "lon_lat"
+
+
+def test_severity_of_flags(spark):
+    names = ["motor_failure", "gcs_connection_lost", "wind_limit_exceeded", None]
+    df = spark.createDataFrame([(n,) for n in names], "field string")
+    assert [r["s"] for r in df.select(indicators.flag_severity(F.col("field")).alias("s")).collect()] == ["HIGH", "MEDIUM", "LOW", None]
