@@ -60,10 +60,10 @@ def test_derived_velocity(spark):
 
 
 def test_cut_logs_give_the_same_grid(spark):
-    times = [round(0.13 * k + (5 if k > 300 else 0), 2) for k in range(500)]
-    df = flight(spark, times, valid=[k % 97 != 0 for k in range(500)], resets=[k // 200 for k in range(500)])
+    times = [round(0.43 * k + (5 if k > 90 else 0), 2) for k in range(150)]
+    df = flight(spark, times, valid=[k % 47 != 0 for k in range(150)], resets=[k // 60 for k in range(150)])
     rows = lambda **hot: sorted(tuple(r) for r in grid(df, 1_000_000, **hot).collect())
-    assert rows() == rows(hot_rows=40, fan=5) and len(rows()) > 50
+    assert rows() == rows(hot_rows=40, fan=4) and len(rows()) > 50
 
 
 def test_constant_velocity_is_exact_and_targets_come_back(spark):
