@@ -57,13 +57,19 @@ def valid(lat: Column, lon: Column) -> Column:
     return F.coalesce(lat.between(-90, 90) & lon.between(-180, 180) & ~((lat == 0) & (lon == 0)), F.lit(False))
 
 
-def _cue(block: Column, place: Column) -> Column:
-    """All fields of a block."""
+def _read(block: Column, place: Column) -> Column:
+    """Number, line of times and text of a block, computed once for all its fields."""
     number = F.regexp_extract(block, r"^\s*(\d+)[ \t]*(?:\n|$)", 1)
     rest = F.regexp_replace(block, r"^\s*\d+[ \t]*(?:\n\s*|$)", "")
     line = F.regexp_extract(F.trim(rest), r"^[^\n]*", 0)
     timed = line.rlike(TIMES)
     body = F.regexp_replace(F.regexp_replace(F.when(timed, F.regexp_replace(rest, r"^\s*[^\n]*", "")).otherwise(rest), r"<[^>]+>", " "), r"\s+", " ")
+    return F.struct(place.alias("place"), number.alias("number"), F.when(timed, line).alias("times"), body.alias("body"))
+
+
+def _cue(block: Column) -> Column:
+    """All fields of a block that is read."""
+    place, number, line, body = (block[c] for c in ("place", "number", "times", "body"))
     at = [F.regexp_extract(body, DEVICE_TIME, k) for k in range(1, 8)]
     day = F.concat_ws("-", at[0], F.lpad(at[1], 2, "0"), F.lpad(at[2], 2, "0"))
     clock = F.concat(F.concat_ws(":", F.lpad(at[3], 2, "0"), at[4], at[5]), F.when(at[6] != "", F.concat(F.lit("."), F.rpad(at[6], 3, "0"))).otherwise(""))
@@ -73,7 +79,7 @@ def _cue(block: Column, place: Column) -> Column:
     unit = _text(body, GPS, 4).isNotNull()
     third = _text(body, GPS, 3)
     fields = {
-        "frame": place + 1, "cue": F.coalesce(number.try_cast("int"), place + 1), "start_s": F.when(timed, _seconds(line, 1)), "end_s": F.when(timed, _seconds(line, 5)),
+        "frame": place + 1, "cue": F.coalesce(number.try_cast("int"), place + 1), "start_s": _seconds(line, 1), "end_s": _seconds(line, 5),
         "device_time": F.when(at[0] != "", F.concat(day, F.lit("T"), clock)), "keyed": body.rlike(r"\[[^\]]*[A-Za-z_]+\s*:\s*[^\s\]]+"), "latitude": F.when(ok, lat), "longitude": F.when(ok, lon),
         "relative_altitude_m": _number(body, keyed_pattern("rel_alt")), "absolute_altitude_m": _number(body, keyed_pattern("abs_alt")),
         "altitude_m": F.coalesce(F.when(unit, third.try_cast("double")), _number(body, keyed_pattern("altitude"))), "barometric_height_m": _number(body, BAROMETER),
@@ -115,7 +121,7 @@ def _files(documents: DataFrame, source: str, stated: str | None) -> DataFrame:
         raise ValueError(f"the order is one of {ORDERS}")
     text = F.regexp_replace(F.regexp_replace("text", "^\ufeff+", ""), "\r\n?", "\n")
     blocks = F.filter(F.split(text, r"\n\s*\n"), lambda b: b.rlike(r"\S"))
-    files = documents.where((F.col("source") == source) & F.col("text").isNotNull()).select("doc_id", F.transform(blocks, _cue).alias("cues"))
+    files = documents.where((F.col("source") == source) & F.col("text").isNotNull()).select("doc_id", F.transform(F.transform(blocks, _read), _cue).alias("cues"))
     order, why = _order(F.col("cues"), stated)
     return files.select("doc_id", "cues", order.alias("axis_order"), why.alias("axis_source"))
 
